@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.bpe import encode_corpus
 from paperloom.llm.components import connected_groups, strong_links
 from paperloom.llm.consensus import current_labels, fit_consensus, krippendorff
+from paperloom.llm.language import document_languages, mislabelled, segment_languages
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from paperloom.llm.survivorship import best_records
 from paperloom.session import read_table
@@ -53,6 +54,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(document_languages(read_table(spark, sf_dir, "documents"))).select("doc_id", "lang")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_languages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -61,6 +70,8 @@ QUERIES: dict[str, Query] = {
     "p7_raters": p7_raters,
     "p7_agreement": p7_agreement,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 
 ORACLE: dict[str, str] = {
