@@ -131,8 +131,8 @@ def _kernel(owner: np.ndarray, gram: np.ndarray, n: int, place: np.ndarray, mark
     size = np.maximum(1, np.bincount(owner, minlength=n))
     at = place[gram]
     owner, at = owner[at >= 0], at[at >= 0]
-    for lo in range(0, n, 256):
-        a, b = np.searchsorted(owner, [lo, lo + 256])
+    for lo in range(0, n, 32):
+        a, b = np.searchsorted(owner, [lo, lo + 32])
         if a == b:
             continue
         starts = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
@@ -155,7 +155,10 @@ def fit_language_model(texts: list[tuple[str, str]], landmarks: int = 110, max_s
     if not picked:
         return LanguageModel(weights, 1.0, 0.0)
     segments, y = [s for s, _ in picked], np.array([k for _, k in picked])
-    owner, gram = presence(segments)
+    blocks = [presence(segments[lo : lo + 500]) for lo in range(0, len(segments), 500)]
+    owner = np.concatenate([o.astype(np.int32) + 500 * i for i, (o, _) in enumerate(blocks)])
+    gram = np.concatenate([g.astype(np.int32) for _, g in blocks])
+    del blocks, pool
     kept = np.ones(len(segments), bool)
     held_out = rng.random(len(segments)) < 0.2
     for _ in range(2):
@@ -187,7 +190,9 @@ def fit_language_model(texts: list[tuple[str, str]], landmarks: int = 110, max_s
         coefficients = root @ beta
         scores = k @ coefficients
         weights = np.zeros((1 << BITS, len(LANGUAGES)), np.float32)
-        weights[grams] = (marks / np.sqrt(size)) @ coefficients
+        folded = (coefficients / np.sqrt(size)[:, None]).astype(np.float32)
+        for lo in range(0, len(grams), 2000):
+            weights[grams[lo : lo + 2000]] = marks[lo : lo + 2000].astype(np.float32) @ folded
         kept = scores.argmax(1) == y
     model = LanguageModel(weights, 10.0, 0.0)
     return LanguageModel(weights, *_margin_curve(model, [segments[i] for i in np.flatnonzero(held_out & kept)], rng))
