@@ -11,6 +11,7 @@ from paperloom.llm.bpe import encode_corpus
 from paperloom.llm.components import connected_groups, strong_links
 from paperloom.llm.consensus import current_labels, fit_consensus, krippendorff
 from paperloom.llm.language import document_languages, mislabelled, segment_languages
+from paperloom.llm.leakage import item_matches, leaked_pairs
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from paperloom.llm.survivorship import best_records
 from paperloom.session import read_table
@@ -54,6 +55,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_pairs(item_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark_items")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(document_languages(read_table(spark, sf_dir, "documents"))).select("doc_id", "lang")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "p7_raters": p7_raters,
     "p7_agreement": p7_agreement,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }

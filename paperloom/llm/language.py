@@ -131,19 +131,18 @@ def _kernel(owner: np.ndarray, gram: np.ndarray, n: int, place: np.ndarray, mark
     size = np.maximum(1, np.bincount(owner, minlength=n))
     at = place[gram]
     owner, at = owner[at >= 0], at[at >= 0]
-    for lo in range(0, n, 32):
-        a, b = np.searchsorted(owner, [lo, lo + 32])
-        if a == b:
-            continue
-        starts = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
-        out[owner[a:b][starts]] = np.add.reduceat(marks[at[a:b]], starts, axis=0, dtype=np.float32)
-    return out / np.sqrt(size[:, None] * mark_size[None, :])
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    for i in range(n):
+        out[i] = marks[at[bounds[i] : bounds[i + 1]]].sum(0, dtype=np.uint16)
+    out /= np.sqrt(size).astype(np.float32)[:, None]
+    out /= np.sqrt(mark_size).astype(np.float32)[None, :]
+    return out
 
 
 def fit_language_model(texts: list[tuple[str, str]], landmarks: int = 110, max_segments: int = 9_800, ridge: float = 0.05, seed: int = 11) -> LanguageModel:
-    """From (text, two-letter label) rows; at most ``max_segments`` segments are used."""
+    """From (text, two-letter label) rows; at most ``max_segments`` segments of at most 400 characters are used."""
     rng = np.random.default_rng(seed)
-    pool = [(s, LANGUAGES.index(lang)) for text, lang in texts if lang in LANGUAGES for s in cut_segments(text) if len(_WORD.findall(s)) >= MIN_WORDS]
+    pool = [(s, LANGUAGES.index(lang)) for text, lang in texts if lang in LANGUAGES for s in cut_segments(text) if len(s) <= 400 and len(_WORD.findall(s)) >= MIN_WORDS]
     pool = [pool[i] for i in rng.permutation(len(pool))]
     per = max(1, max_segments // len(LANGUAGES))
     picked, left = [], dict.fromkeys(range(len(LANGUAGES)), per)
@@ -188,7 +187,8 @@ def fit_language_model(texts: list[tuple[str, str]], landmarks: int = 110, max_s
             cross += phi.T @ (np.eye(len(LANGUAGES))[y[at]] * w)
         beta = np.linalg.solve(gram_sum + ridge * np.eye(len(chosen)) / len(chosen), cross)
         coefficients = root @ beta
-        scores = k @ coefficients
+        scores = k @ coefficients.astype(np.float32)
+        del k
         weights = np.zeros((1 << BITS, len(LANGUAGES)), np.float32)
         folded = (coefficients / np.sqrt(size)[:, None]).astype(np.float32)
         for lo in range(0, len(grams), 2000):
