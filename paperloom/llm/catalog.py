@@ -12,6 +12,7 @@ from paperloom.llm.components import connected_groups, strong_links
 from paperloom.llm.consensus import current_labels, fit_consensus, krippendorff
 from paperloom.llm.language import document_languages, mislabelled, segment_languages
 from paperloom.llm.leakage import item_matches, leaked_pairs
+from paperloom.llm.names import author_names, entity_spellings, spelling_pairs
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from paperloom.llm.survivorship import best_records
 from paperloom.session import read_table
@@ -26,6 +27,10 @@ def record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(strong_links(read_table(spark, sf_dir, "pairs"), LINK_SIMILARITY))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_pairs(entity_spellings(author_names(read_table(spark, sf_dir, "papers"))))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_records(read_table(spark, sf_dir, "papers"), record_groups(spark, sf_dir), max_size=8)
 
@@ -68,6 +73,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_found": p6_found,
