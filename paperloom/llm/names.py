@@ -7,7 +7,7 @@
    name belongs to every pivot it reaches by at most r deletions. By the triangle
    inequality names sharing a pivot are within 2r, and any two names within r share a
    pivot, so the boundary names are replicated exactly as far as needed. Inside a cell the
-   true Levenshtein distance decides. (Voronoi cells of sampled pivots do not work here:
+   true Damerau-Levenshtein distance decides. (Voronoi cells of sampled pivots do not work here:
    edit distances between names concentrate, and the boundary rule d(x, p) <= d(x, p_x) +
    2r replicates nearly every name to nearly every pivot; the README has the figures.)
 3. Forms (family name, given name or a body's remaining words, middle initial) are
@@ -89,21 +89,27 @@ def fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).translate(PLAIN)
 
 
-def cut_name(name: str) -> tuple[bool, list[str], list[str], list[str], str]:
-    """(is a body, full words folded, the same as spelt in NFC lower case, initials, acronym) of a name."""
+def cut_name(name: str) -> tuple[bool, list[str], list[str], list[int], list[str], str]:
+    """(is a body, full words folded, the same as spelt in NFC lower case, their hyphenated units, initials, acronym) of a name."""
     text = unicodedata.normalize("NFKC", name)
+    text = re.sub(r"(?<=[^\W\d_])0(?=[^\W\d_]|\b)", "o", re.sub(r"(?<=[^\W\d_])1(?=[^\W\d_]|\b)", "l", text))
     acronym = ""
     if m := re.search(r"\(([^)]*)\)", text):
         text = text[: m.start()] + " " + text[m.end() :]
     head, comma, tail = text.partition(",")
-    if comma and not all(w.casefold() in TITLES for w in _WORDS.findall(tail.replace(".", ""))):
-        text = tail + " " + head
-    words, spelt, initials = [], [], []
-    raw = [w for w in _WORDS.findall(text) if fold(w) not in TITLES]
+    if comma:
+        title_only = all(w.casefold() in TITLES for w in _WORDS.findall(tail.replace(".", "")))
+        text = head if title_only else tail + " " + head
+    words, spelt, units, initials = [], [], [], []
+    found = [m for m in _WORDS.finditer(text) if fold(m.group()) not in TITLES or re.fullmatch("[A-Z]{2}", m.group())]
+    raw = [m.group() for m in found]
+    unit, last = 0, -1
     letters = sum(len(w) > 1 and w.isupper() for w in raw)
     shouted = letters == len([w for w in raw if len(w) > 1]) and letters > 1
-    for w in raw:
+    for m, w in zip(found, raw, strict=True):
         f = fold(w)
+        unit += not (m.start() == last + 1 and text[last] in "-\u2010\u2011")
+        last = m.end()
         if len(w) == 1:
             initials.append(f)
         elif w.isupper() and len(w) <= 4 and not shouted and len(raw) > 1:
@@ -113,18 +119,19 @@ def cut_name(name: str) -> tuple[bool, list[str], list[str], list[str], str]:
         else:
             words.append(f)
             spelt.append(unicodedata.normalize("NFC", w.casefold()))
+            units.append(unit)
     full = [SHORTENED.get(w, w) for w in words]
     if any(w in BODY_WORDS for w in full):
         keep = [i for i, w in enumerate(full) if w not in LINK_WORDS]
-        return True, [full[i] for i in keep], [spelt[i] for i in keep], [], ""
-    return False, words, spelt, initials, acronym
+        return True, [full[i] for i in keep], [spelt[i] for i in keep], keep, [], ""
+    return False, words, spelt, units, initials, acronym
 
 
-CUT = "body boolean, words array<string>, spelt array<string>, initials array<string>, acronym string"
+CUT = "body boolean, words array<string>, spelt array<string>, units array<int>, initials array<string>, acronym string"
 
 
 def _cut(names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([cut_name(n) for n in names], columns=["body", "words", "spelt", "initials", "acronym"])
+    return pd.DataFrame([cut_name(n) for n in names], columns=["body", "words", "spelt", "units", "initials", "acronym"])
 
 
 def radius(length: Column) -> Column:
@@ -153,12 +160,39 @@ def pivots(word: Column) -> Column:
     return F.when(r == 0, own).when(r == 1, _deletions(own)).otherwise(_deletions(_deletions(own)))
 
 
+def damerau(a: str, b: str) -> int:
+    """The unrestricted Damerau-Levenshtein distance, a metric in which a swap of neighbours is one edit."""
+    last: dict[str, int] = {}
+    far = len(a) + len(b)
+    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    for i in range(1, len(a) + 1):
+        match = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), match
+            cost = a[i - 1] != b[j - 1]
+            if not cost:
+                match = j
+            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        last[a[i - 1]] = i
+    return d[len(a) + 1][len(b) + 1]
+
+
+def _with_swaps(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def near_words(words: DataFrame, word: str) -> DataFrame:
     """(a, b, d): ordered pairs of distinct words within the radius of the shorter one, and each with itself."""
     cells = words.select(F.col(word).alias("w")).distinct().select("w", F.explode(pivots(F.col("w"))).alias("pivot"))
     left, right = cells.withColumnRenamed("w", "a"), cells.withColumnRenamed("w", "b")
     both = left.join(right, "pivot").where((F.col("a") <= F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= MAX_RADIUS))
     pairs = both.select("a", "b").distinct().withColumn("d", F.levenshtein("a", "b"))
+    swapped = F.pandas_udf(_with_swaps, "int")
+    pairs = pairs.where(F.col("d") <= 2 * MAX_RADIUS).withColumn("d", F.when(F.col("d") > MAX_RADIUS, swapped("a", "b")).otherwise(F.col("d")))
     pairs = pairs.where(F.col("d") <= radius(F.least(F.length("a"), F.length("b"))))
     return pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
@@ -166,7 +200,7 @@ def near_words(words: DataFrame, word: str) -> DataFrame:
 def name_forms(names: DataFrame) -> DataFrame:
     """(name, n, body, sur, spelt, given, initials, acronym): the readings of each distinct name."""
     cut = durable(names.select("name", "n", F.pandas_udf(_cut, CUT)("name").alias("c")).select("name", "n", "c.*").where(F.size("words") > 0))
-    long = cut.select("name", F.posexplode(F.arrays_zip("words", "spelt")).alias("at", "w")).select("name", "at", "w.words", "w.spelt")
+    long = cut.select("name", F.posexplode(F.arrays_zip("words", "spelt", "units")).alias("at", "w")).select("name", "at", "w.words", "w.spelt", "w.units")
     several = cut.where(F.size("words") > 1)
     partners = (
         several.select(F.explode("words").alias("word"), F.col("words").alias("all"))
@@ -177,15 +211,16 @@ def name_forms(names: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("degree"))
     )
     weighed = long.join(partners, long["words"] == partners["word"], "left").select(
-        "name", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("words")).alias("short"), "at", F.col("words").alias("word"), "spelt").alias("w")
+        "name", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("words")).alias("short"), "at", F.col("words").alias("word"), "spelt", F.col("units").alias("unit")).alias("w")
     )
     ranked = weighed.groupBy("name").agg(F.array_sort(F.collect_list("w")).alias("by_degree"))  # a name's own words
     rows = cut.join(ranked, "name")
     first, second = F.get("by_degree", F.lit(0)), F.get("by_degree", F.lit(1))
     open_order = ~F.col("body") & (F.size("by_degree") > 1) & (second["degree"] <= F.greatest(first["degree"] * 3, F.lit(COMMON_WORD)))
     readings = F.when(open_order, F.array(first, second)).otherwise(F.array(first))
-    out = rows.select("name", "n", "body", "words", "initials", "acronym", F.explode(readings).alias("s"))
-    rest = F.filter("words", lambda w: w != F.col("s.word"))
+    out = rows.select("name", "n", "body", "words", "units", "initials", "acronym", F.explode(readings).alias("s"))
+    others = F.filter(F.arrays_zip("words", "units"), lambda w: (w["words"] != F.col("s.word")) & (F.col("body") | (w["units"] != F.col("s.unit"))))
+    rest = F.transform(others, lambda w: w["words"])
     return out.select(
         "name",
         "n",
@@ -198,6 +233,12 @@ def name_forms(names: DataFrame) -> DataFrame:
     )
 
 
+def _swapped(a: str, b: str) -> Column:
+    """Two neighbouring letters changed places."""
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    return (F.length(a) >= 4) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (letters(a) == letters(b))
+
+
 def formal_given(given: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, given), given)
@@ -227,7 +268,7 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     agree = (
         (F.col("kind") == F.col("kind_b"))
         & (F.col("a") < F.col("b"))
-        & (F.levenshtein("given_a", "given_b") <= radius(F.least(F.length("given_a"), F.length("given_b"))))
+        & ((F.levenshtein("given_a", "given_b") <= radius(F.least(F.length("given_a"), F.length("given_b")))) | _swapped("given_a", "given_b"))
         & ((F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.col("middle_a") == F.col("middle_b")))
     )
     links = met.where(agree).select("a", "b").distinct()
