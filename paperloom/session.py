@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and cut from its lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table to the checkpoint folder and read from there.
+
+    It cuts the lineage, survives lost executors and, unlike ``checkpoint()``, computes
+    the rows only once. ``release`` removes the table.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._paperloom_path = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Remove a table made by ``durable`` that nothing will read again."""
+    path = getattr(df, "_paperloom_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def task_target(spark: SparkSession, per_core: int = 2) -> int:
