@@ -20,15 +20,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import durable
+from paperloom.session import durable, release
 
 #: A vertex with more than this share of the edges is a hub; at most 2 / HUB_SHARE vertices can be.
 HUB_SHARE = 1e-3
+#: So few edges fit any one task even if they share one vertex.
+ONE_TASK_EDGES = 1_000_000
 MAX_ROUNDS = 60
 
 
 def _relabel(directed: DataFrame, labels: DataFrame, n_edges: int, hub_share: float) -> DataFrame:
     """(u, v, m): each directed edge with its source's label, hubs apart."""
+    if n_edges <= ONE_TASK_EDGES and hub_share >= HUB_SHARE:
+        return directed.join(labels.select("u", "m"), "u")
     cut = max(1000, int(n_edges * hub_share))
     hubs = labels.where(F.col("degree") > cut).select("u", "m")
     rest = labels.where(F.col("degree") <= cut).select("u", "m")
@@ -85,7 +89,8 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", hub_share: fl
             break
         grown = large_star(edges, seen[0], hub_share).where(F.col("u") != F.col("v")).distinct()
         shrunk = small_star(grown, seen[0], hub_share).where(F.col("u") != F.col("v")).distinct()
-        edges = durable(shrunk)
+        edges, old = durable(shrunk), edges
+        release(old)
         now = _signature(edges)
         if now == seen:
             break

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import durable, task_target
+from paperloom.session import durable, release, task_target
 
 CLASSES = ("include", "exclude", "maybe")
 BROADCAST_ANNOTATORS = 100_000
@@ -133,7 +133,8 @@ def fit_consensus(labels: DataFrame, max_rounds: int = 20, tolerance: float = 1e
     counts = maximise(shared)
     before = None
     for _ in range(max_rounds):
-        counts = maximise(expect(counts))
+        counts, old = maximise(expect(counts)), counts
+        release(old)
         now = by_annotator(counts).agg(*[F.sum(F.pow(f"n{k}{j}", F.lit(2.0))).alias(f"z{k}{j}") for k in range(3) for j in range(3)]).first()
         now = [float(x or 0.0) for x in now]
         if before and all(abs(x - y) <= tolerance * max(1.0, y) for x, y in zip(now, before, strict=True)):
