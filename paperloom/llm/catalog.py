@@ -12,6 +12,7 @@ from paperloom.llm.components import connected_groups, strong_links
 from paperloom.llm.consensus import current_labels, fit_consensus, krippendorff
 from paperloom.llm.language import document_languages, mislabelled, segment_languages
 from paperloom.llm.leakage import item_matches, leaked_pairs
+from paperloom.llm.matching import match_records
 from paperloom.llm.names import author_names, entity_spellings, spelling_pairs
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from paperloom.llm.survivorship import best_records
@@ -39,6 +40,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(spark, sf_dir).withColumnRenamed("id", "paper_id")
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_records(read_table(spark, sf_dir, "arxiv_fields"), read_table(spark, sf_dir, "pubmed_fields"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("rec_a", "rec_b").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(read_table(spark, sf_dir, "papers"), "id", "embedding", dim=384, k=5))
 
@@ -76,6 +85,8 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_raters": p7_raters,
