@@ -211,12 +211,12 @@ def name_forms(names: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("degree"))
     )
     weighed = long.join(partners, long["words"] == partners["word"], "left").select(
-        "name", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("words")).alias("short"), "at", F.col("words").alias("word"), "spelt", F.col("units").alias("unit")).alias("w")
+        "name", F.struct(F.col("words").isin(*BODY_WORDS, *SHORTENED.values()).alias("kind"), F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("words")).alias("short"), "at", F.col("words").alias("word"), "spelt", F.col("units").alias("unit")).alias("w")
     )
     ranked = weighed.groupBy("name").agg(F.array_sort(F.collect_list("w")).alias("by_degree"))  # a name's own words
     rows = cut.join(ranked, "name")
     first, second = F.get("by_degree", F.lit(0)), F.get("by_degree", F.lit(1))
-    open_order = ~F.col("body") & (F.size("by_degree") > 1) & (second["degree"] <= F.greatest(first["degree"] * 3, F.lit(COMMON_WORD)))
+    open_order = (F.size("by_degree") > 1) & ~second["kind"] & (second["degree"] <= F.greatest(first["degree"] * 3, F.lit(COMMON_WORD)))
     readings = F.when(open_order, F.array(first, second)).otherwise(F.array(first))
     out = rows.select("name", "n", "body", "words", "units", "initials", "acronym", F.explode(readings).alias("s"))
     others = F.filter(F.arrays_zip("words", "units"), lambda w: (w["words"] != F.col("s.word")) & (F.col("body") | (w["units"] != F.col("s.unit"))))
