@@ -72,25 +72,24 @@ class Consensus:
     annotators: DataFrame  # u, labels, reliability, low, high
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    weights = [F.exp(s - top) for s in scores]
-    total = weights[0] + weights[1] + weights[2]
-    return [w / total for w in weights]
+def _psi(*values: Column) -> Column:
+    """An array of digammas; the expression stands once in the plan, whatever the number of values."""
+    return F.transform(F.array(*values), lambda x: digamma(x))
 
 
-def by_annotator(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("u").agg(*[F.sum(f"n{k}{j}").alias(f"n{k}{j}") for k in range(3) for j in range(3)])
+def by_label(counts: DataFrame) -> DataFrame:
+    """(u, y, n0, n1, n2): an annotator's expected counts of each class under each label."""
+    return counts.groupBy("u", "y").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
 
 
 def _expectations(counts: DataFrame) -> DataFrame:
-    """(u, e00..e22): expected log confusion, from expected counts n{class}{label}."""
-    out = ["u"]
-    for k in range(3):
-        a = [F.col(f"n{k}{j}") + (DIAGONAL if j == k else OFF_DIAGONAL) for j in range(3)]
-        whole = digamma(a[0] + a[1] + a[2])
-        out += [(digamma(a[j]) - whole).alias(f"e{k}{j}") for j in range(3)]
-    return counts.select(*out)
+    """(u, y, e0, e1, e2): the expected log confusion of each class with the label y, for the labels given."""
+    rows = by_label(counts)
+    totals = rows.groupBy("u").agg(*[F.sum(f"n{k}").alias(f"t{k}") for k in range(3)])
+    prior = lambda k: F.when(F.col("y") == k, DIAGONAL).otherwise(OFF_DIAGONAL)
+    values = [F.col(f"n{k}") + prior(k) for k in range(3)] + [F.col(f"t{k}") + DIAGONAL + 2 * OFF_DIAGONAL for k in range(3)]
+    psi = rows.join(totals, "u").select("u", "y", _psi(*values).alias("psi"))
+    return psi.select("u", "y", *[(F.col("psi")[k] - F.col("psi")[k + 3]).alias(f"e{k}") for k in range(3)])
 
 
 def fit_consensus(labels: DataFrame, max_rounds: int = 20, tolerance: float = 1e-3, min_raters: int = 3) -> Consensus:
@@ -104,38 +103,32 @@ def fit_consensus(labels: DataFrame, max_rounds: int = 20, tolerance: float = 1e
     sized = F.broadcast if n_annotators <= BROADCAST_ANNOTATORS else (lambda d: d)
 
     def maximise(posterior: DataFrame) -> DataFrame:
-        """Expected counts by annotator and collection: n{class}{label}, and w{class} counting each item once."""
+        """Expected counts by annotator, label and collection: n{class}, and w{class} counting each item once."""
         joined = ratings.join(posterior, ["c", "p"])
         return durable(
-            joined.groupBy("u", "c").agg(
-                *[F.sum(F.when(F.col("y") == j, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}{j}") for k in range(3) for j in range(3)],
-                *[F.sum(F.col(f"q{k}") / F.col("raters")).alias(f"w{k}") for k in range(3)],
-            )
+            joined.groupBy("u", "y", "c").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in range(3)], *[F.sum(F.col(f"q{k}") / F.col("raters")).alias(f"w{k}") for k in range(3)])
         )
 
     def expect(counts: DataFrame) -> DataFrame:
-        users = _expectations(by_annotator(counts))
         collections = counts.groupBy("c").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(3)])
         whole = counts.agg(*[F.sum(f"w{k}").alias(f"t{k}") for k in range(3)])  # one row
-        share = collections.join(F.broadcast(whole))
         a = [F.col(f"w{k}") + COLLECTION_WEIGHT * (F.col(f"t{k}") + 1) / (F.col("t0") + F.col("t1") + F.col("t2") + 3) for k in range(3)]
-        prior = share.select("c", *[(digamma(a[k]) - digamma(a[0] + a[1] + a[2])).alias(f"w{k}") for k in range(3)])
-        scored = ratings.join(sized(users), "u").groupBy("c", "p").agg(
-            F.count(F.lit(1)).alias("raters"),
-            *[
-                F.sum(F.when(F.col("y") == 0, F.col(f"e{k}0")).when(F.col("y") == 1, F.col(f"e{k}1")).otherwise(F.col(f"e{k}2"))).alias(f"s{k}")
-                for k in range(3)
-            ]
+        # the collection's total is the same for every class and cancels in the posterior
+        prior = collections.join(F.broadcast(whole)).select("c", _psi(*a).alias("prior"))
+        scored = ratings.join(sized(_expectations(counts)), ["u", "y"]).groupBy("c", "p").agg(
+            F.count(F.lit(1)).alias("raters"), *[F.sum(f"e{k}").alias(f"s{k}") for k in range(3)]
         )
-        q = _softmax([F.col(f"s{k}") + F.col(f"w{k}") for k in range(3)])
-        return scored.join(prior, "c").select("c", "p", "raters", *[q[k].alias(f"q{k}") for k in range(3)])
+        logits = scored.join(prior, "c").select("c", "p", "raters", F.transform(F.arrays_zip(F.array("s0", "s1", "s2"), F.col("prior")), lambda x: x["0"] + x["prior"]).alias("z"))
+        weights = logits.select("c", "p", "raters", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("x"))
+        total = F.aggregate("x", F.lit(0.0), lambda t, v: t + v)
+        return weights.select("c", "p", "raters", total.alias("total"), "x").select("c", "p", "raters", *[(F.col("x")[k] / F.col("total")).alias(f"q{k}") for k in range(3)])
 
     counts = maximise(shared)
     before = None
     for _ in range(max_rounds):
         counts, old = maximise(expect(counts)), counts
         release(old)
-        now = by_annotator(counts).agg(*[F.sum(F.pow(f"n{k}{j}", F.lit(2.0))).alias(f"z{k}{j}") for k in range(3) for j in range(3)]).first()
+        now = by_label(counts).agg(*[F.sum(F.pow(f"n{k}", F.lit(2.0))).alias(f"z{k}") for k in range(3)]).first()
         now = [float(x or 0.0) for x in now]
         if before and all(abs(x - y) <= tolerance * max(1.0, y) for x, y in zip(now, before, strict=True)):
             break
@@ -155,13 +148,14 @@ def fit_consensus(labels: DataFrame, max_rounds: int = 20, tolerance: float = 1e
 
 def _reliability(counts: DataFrame) -> DataFrame:
     """Posterior mean and 95 % interval of an annotator's chance to be right, over the classes seen."""
-    users = by_annotator(counts)
-    rows = [sum((F.col(f"n{k}{j}") for j in range(1, 3)), F.col(f"n{k}0")) for k in range(3)]
+    seen = [F.sum(f"n{k}").alias(f"t{k}") for k in range(3)] + [F.sum(F.when(F.col("y") == k, F.col(f"n{k}")).otherwise(0.0)).alias(f"r{k}") for k in range(3)]
+    users = by_label(counts).groupBy("u").agg(*seen)
+    rows = [F.col(f"t{k}") for k in range(3)]
     total = rows[0] + rows[1] + rows[2]
     mean, var = F.lit(0.0), F.lit(0.0)
     for k in range(3):
-        a = F.col(f"n{k}{k}") + DIAGONAL
-        b = rows[k] - F.col(f"n{k}{k}") + 2 * OFF_DIAGONAL
+        a = F.col(f"r{k}") + DIAGONAL
+        b = rows[k] - F.col(f"r{k}") + 2 * OFF_DIAGONAL
         weight = rows[k] / total
         mean = mean + weight * a / (a + b)
         var = var + weight * weight * a * b / ((a + b) * (a + b) * (a + b + 1))
