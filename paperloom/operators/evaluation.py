@@ -97,3 +97,11 @@ def bootstrap_ratio(samples: DataFrame, a: str, b: str, replicates: int = 200, s
     weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
     means = many.groupBy("rep").agg((F.sum(F.col("r") * weight) / F.sum(weight)).alias("m"))
     return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+
+
+def recall_by_group(exact: DataFrame, found: DataFrame, group: DataFrame, k: int) -> DataFrame:
+    """(grp, wanted, hits, recall): the exact top k split by a property of the papers, and how much of each was found."""
+    want = exact.where(F.col("rank") <= k).join(group, "id")
+    got = found.where(F.col("rank") <= k).select("query_id", "id", F.lit(1).alias("hit"))
+    by = want.join(got, ["query_id", "id"], "left").groupBy("grp").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+    return by.select("grp", "wanted", "hits", (F.col("hits") / F.col("wanted")).alias("recall"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as ft
+from paperloom.functions.encoder import HashingEncoder, embed
 from paperloom.operators import evaluation, groups, pairs, screening, search, stats
 from paperloom.operators.nested import child_table, flatten_records
 from paperloom.plans.oracle import SQL
@@ -144,6 +145,15 @@ def ingest_derived(s, d):
     return rec.derive_papers(source_records(s, d)).drop("fetched_at")
 
 
+def extract_venue(s, d):
+    r = source_records(s, d).withColumn("v", rec.unwrapped(F.col("raw")))
+    return r.where("source = 'openalex' and v is not null").select("id", rec.extract_venue().alias("venue"))
+
+
+def extract_authors(s, d):
+    return rec.derive_papers(source_records(s, d)).select(F.col("record_id").alias("id"), F.array_join("authors", "|").alias("authors"))
+
+
 def ingest_outcomes(s, d):
     return rec.outcomes(source_records(s, d))
 
@@ -401,6 +411,10 @@ def embed_backlog(s, d):
     return stats.embed_backlog(p, pairs.boilerplate_seed(p))
 
 
+def embed_hash(s, d):
+    return embed(embed_backlog(s, d), HashingEncoder(DIM)).select("id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
 def l2_normalize(s, d):
     v = search.sound_vectors(papers(s, d), DIM).select("id", ft.l2_normalize(F.col("embedding")).alias("v"))
     return v.select("id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
@@ -415,6 +429,10 @@ def collection_summary(s, d):
     return screening.collection_summary(screening.current(screenings(s, d)), collections(s, d))
 
 
+def collection_papers(s, d):
+    return screening.collection_papers(screening.current(screenings(s, d)), papers(s, d), "include")
+
+
 def conflicts(s, d):
     return screening.conflicts(screening.current(screenings(s, d)))
 
@@ -458,6 +476,14 @@ def recall_at_k(s, d):
     return evaluation.recall_at_k(w(search.vector_topk(p, q, 20)), w(search.vector_topk(p, q, 40).where("id % 5 <> 0").limit(20)), 10)
 
 
+def recall_by_group(s, d):
+    p, q = papers(s, d), query_vector(s, d)
+    near = search.vector_topk(p, q, 40)
+    of = lambda df: search.ranked(df, 20).select(F.lit(0).alias("query_id"), "id", "rank")
+    found = evaluation.recall_by_group(of(near), of(near.where("id % 5 <> 0")), p.select("id", (F.col("year") >= 2015).alias("grp")), 20)
+    return rounded(found, "recall")
+
+
 def fusion_convergence(s, d):
     p, q = papers(s, d), query_vector(s, d)
     kw, vec = search.bm25(p, TEXT, 200), search.vector_topk(p, q, 200)
@@ -510,7 +536,7 @@ def p5_found(s, d):
 NAMES = [
     *["year_filter", "keyword_match", "keyword_total", "tokenize", "search_keyword_weighted", "search_bm25", "search_cover_density"],
     *["vector_topk", "vector_topk_filtered", "vector_total", "vector_batch_topk", "vector_ivf", "hybrid_rrf", "hybrid_sources", "mode_overlap"],
-    *["record_upsert", "paper_owner", "paper_link", "paper_refresh", "ingest_derived", "ingest_outcomes", "junk_types", "deinvert_abstract"],
+    *["record_upsert", "paper_owner", "paper_link", "paper_refresh", "ingest_derived", "extract_venue", "extract_authors", "ingest_outcomes", "junk_types", "deinvert_abstract"],
     *["split_budget", "year_slices", "nested_departments", "normalize_doi", "normalize_title", "pairs_doi_exact", "pairs_doi_transform"],
     *["pairs_id_exact", "pairs_abstract_hash", "pairs_abstract_title", "pairs_title_exact", "surname_blocks", "pairs_title_trgm", "preprints"],
     *["pairs_preprint_trgm", "trigram_similarity", "enum_siblings", "part_siblings", "pairs_attributed", "trgm_sweep", "boilerplate_seed"],
@@ -518,8 +544,8 @@ NAMES = [
     *["publication_rank", "survivor", "merged_fields", "merge_screening_conflicts", "screening_collapse", "record_repoint", "merge_snapshot"],
     *["merge_roundtrip", "unwind_candidates", "orphan_records", "corpus_totals", "by_source", "records_by_query", "papers_by_query"],
     *["embedding_coverage", "merges_by_strategy", "corr_tail", "bucket_topn", "title_sample", "stratified_sample", "document_text"],
-    *["embed_backlog", "l2_normalize", "screenings_current", "collection_summary", "conflicts", "resolutions_stale", "member_progress"],
-    *["cohen_kappa", "krippendorff_alpha", "export_csv_cells", "bibtex_key", "export_bibtex", "recall_at_k", "fusion_convergence"],
+    *["embed_backlog", "embed_hash", "l2_normalize", "screenings_current", "collection_summary", "collection_papers", "conflicts", "resolutions_stale", "member_progress"],
+    *["cohen_kappa", "krippendorff_alpha", "export_csv_cells", "bibtex_key", "export_bibtex", "recall_at_k", "recall_by_group", "fusion_convergence"],
     *["latency_percentiles", "stability_gate", "paired_ratio", "weighted_prf", "binary_kappa", "wilson_ci", "p5_found"],
 ]
 

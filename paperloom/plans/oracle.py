@@ -280,6 +280,13 @@ SQL: dict[str, str] = {
     "collection_summary": f"""
         WITH {CURRENT.strip()} SELECT c.id AS collection_id, c.name, count(DISTINCT paper_id) AS papers, count(DISTINCT user_id) AS raters, count(*) FILTER (decision = 'include') AS include,
                count(*) FILTER (decision = 'exclude') AS exclude, count(*) FILTER (decision = 'maybe') AS maybe FROM collections c LEFT JOIN now ON now.collection_id = c.id GROUP BY c.id, c.name""",
+    "collection_papers": f"""
+        WITH {CURRENT.strip()} SELECT collection_id, paper_id, user_id, decision, title, year FROM now JOIN papers ON papers.id = paper_id WHERE decision = 'include'""",
+    "recall_by_group": f"""
+        WITH {NEAREST}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near),
+        f AS (SELECT id FROM r WHERE rank <= 40 AND id % 5 <> 0 ORDER BY rank LIMIT 20)
+        SELECT (year >= 2015) AS grp, count(*) AS wanted, count(*) FILTER (id IN (SELECT id FROM f)) AS hits, round(count(*) FILTER (id IN (SELECT id FROM f)) / count(*)::DOUBLE, 6) AS recall
+        FROM r JOIN papers USING (id) WHERE rank <= 20 GROUP BY 1""",
     "conflicts": f"""
         WITH {CURRENT.strip()} SELECT collection_id, paper_id, count(*) AS raters, count(DISTINCT decision) AS decisions, array_to_string(list_sort(list_distinct(list(decision))), ',') AS said
         FROM now GROUP BY collection_id, paper_id HAVING count(DISTINCT decision) > 1""",
