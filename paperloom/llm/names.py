@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.llm.components import connected_groups
-from paperloom.session import durable
+from paperloom.session import durable, task_target
 
 #: Stand-ins for unnamed authors, titles, and words that make a name a body's.
 PLACEHOLDER = r"(?i)^\W*(et\W+al|and\W+others|others|anonymous|anon|unknown|n/?a|none|null|no author( name)?s?( available)?|not available|not stated|author)?\W*$"
@@ -189,10 +189,15 @@ def near_words(words: DataFrame, word: str) -> DataFrame:
     """(a, b, d): ordered pairs of distinct words within the radius of the shorter one, and each with itself."""
     cells = words.select(F.col(word).alias("w")).distinct().select("w", F.explode(pivots(F.col("w"))).alias("pivot"))
     left, right = cells.withColumnRenamed("w", "a"), cells.withColumnRenamed("w", "b")
-    both = left.join(right, "pivot").where((F.col("a") <= F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= MAX_RADIUS))
-    pairs = both.select("a", "b").distinct().withColumn("d", F.levenshtein("a", "b"))
-    swapped = F.pandas_udf(_with_swaps, "int")
-    pairs = pairs.where(F.col("d") <= 2 * MAX_RADIUS).withColumn("d", F.when(F.col("d") > MAX_RADIUS, swapped("a", "b")).otherwise(F.col("d")))
+    # exploded rows: the size of the files says nothing, so no side may be taken for small
+    both = left.join(right.hint("merge"), "pivot").where((F.col("a") <= F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= MAX_RADIUS))
+    pairs = durable(both.select("a", "b").distinct().withColumn("d", F.levenshtein("a", "b")).where(F.col("d") <= 2 * MAX_RADIUS))
+    # a swap costs Levenshtein two: only pairs that hold one can come closer, and only they go to Python
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    left_over = F.size(F.array_except(letters("a"), letters("b"))) + F.size(F.array_except(letters("b"), letters("a")))
+    swaps = pairs.where((F.col("d") > MAX_RADIUS) & (F.when(F.col("d") == 4, letters("a") == letters("b")).otherwise(left_over <= 2)))
+    swaps = swaps.repartition(task_target(words.sparkSession)).withColumn("d", F.pandas_udf(_with_swaps, "int")("a", "b"))
+    pairs = pairs.where(F.col("d") <= MAX_RADIUS).unionByName(swaps.where(F.col("d") <= MAX_RADIUS))
     pairs = pairs.where(F.col("d") <= radius(F.least(F.length("a"), F.length("b"))))
     return pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
@@ -264,7 +269,7 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     left = left.withColumn("pivot", F.explode(pivots(F.col("given_a"))))
     right = whole.select(F.col("form").alias("b"), F.col("kind").alias("kind_b"), F.col("sur").alias("sur_b"), F.col("given").alias("given_b"), F.col("middle").alias("middle_b"))
     right = right.withColumn("pivot", F.explode(pivots(F.col("given_b"))))
-    met = left.join(near.select(F.col("a").alias("sur"), F.col("b").alias("sur_b")), "sur").join(right, ["sur_b", "pivot"])
+    met = left.join(near.select(F.col("a").alias("sur"), F.col("b").alias("sur_b")).hint("merge"), "sur").join(right.hint("merge"), ["sur_b", "pivot"])
     agree = (
         (F.col("kind") == F.col("kind_b"))
         & (F.col("a") < F.col("b"))
