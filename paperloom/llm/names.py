@@ -283,9 +283,9 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     attached = _attach_initials(forms, anchored, near)
     by_form = anchored.select("form", "entity", F.col("n").alias("weight")).unionByName(attached)
     placed = forms.join(by_form, "form").select("name", "entity", "weight")
-    # a name of two readings takes the one whose entity is better attested; the readings of a pair are thereby one entity
+    # a name of two readings takes the one whose entity has more spellings
     size = placed.groupBy("entity").agg(F.count_distinct("name").alias("spellings"))
-    best = placed.join(size, "entity").groupBy("name").agg(F.max(F.struct("spellings", "weight", "entity")).alias("m"), F.collect_set("entity").alias("all"))
+    best = placed.join(size, "entity").groupBy("name").agg(F.max(F.struct("spellings", "weight", "entity")).alias("m"))
     return best.select("name", F.col("m.entity").alias("entity"))
 
 
