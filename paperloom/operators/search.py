@@ -230,16 +230,14 @@ def mode_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def ivf_topk(papers: DataFrame, query: list[float], k: int = 20, lists: int = 16, probes: int = 4, fit_rows: int = 5000) -> DataFrame:
-    """Approximate top k: the rows of the ``probes`` cells nearest to the query; cells are widened until k rows remain.
+def fit_cells(rows: DataFrame, dim: int, k: int, lists: int = 16, fit_rows: int = 5000, least_recall: float = 0.95) -> tuple[np.ndarray, int]:
+    """The centroids of ``lists`` cells, and the probes, four at least, that give ``least_recall`` at ``k`` within the fitted rows.
 
-    The centroids are fitted on at most ``fit_rows`` rows chosen by the hash of their id.
+    They are fitted on at most ``fit_rows`` rows chosen by the hash of their id; at most 500 of those are the queries.
     """
-    dim = len(query)
-    rows = sound_vectors(papers, dim)
     sample = rows.orderBy(F.xxhash64("id")).select("embedding").limit(fit_rows).toArrow()["embedding"].combine_chunks()
     if not len(sample):
-        return vector_topk(papers, query, k)
+        return np.empty((0, dim), np.float32), 0
     x = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng(3)
@@ -250,24 +248,88 @@ def ivf_topk(papers: DataFrame, query: list[float], k: int = 20, lists: int = 16
             if (of == c).any():
                 m = x[of == c].sum(0)
                 centre[c] = m / max(np.linalg.norm(m), 1e-9)
-    q = np.array(query, np.float32)
-    near = np.argsort(-(centre @ (q / np.linalg.norm(q))))
+    q = x[:500]
+    nearest = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(q @ centre.T), axis=1, kind="stable"), axis=1)  # of each cell in the query's order
+    needed = np.take_along_axis(place, (x @ centre.T).argmax(1)[nearest], 1)
+    recall = [(needed < p).mean() for p in range(1, len(centre) + 1)]
+    return centre, max(4, 1 + next((i for i, r in enumerate(recall) if r >= least_recall), len(centre) - 1))
 
-    def cells(v: pa.Array) -> np.ndarray:
-        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-        return (m @ centre.T).argmax(1)
+
+def in_cells(rows: DataFrame, centre: np.ndarray) -> DataFrame:
+    """(id, embedding, cell) of ``rows``."""
+    dim = centre.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells(b.column(1)).astype(np.int32))], names=["id", "embedding", "cell"])
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((m @ centre.T).argmax(1).astype(np.int32))], names=["id", "embedding", "cell"])
+
+    return rows.select("id", "embedding").mapInArrow(run, "id long, embedding array<float>, cell int")
 
-    placed = rows.select("id", "embedding").mapInArrow(run, "id long, embedding array<float>, cell int")
+
+def ivf_topk(papers: DataFrame, query: list[float], k: int = 20, lists: int = 16, probes: int | None = None, fit_rows: int = 5000) -> DataFrame:
+    """Approximate top k: the rows of the ``probes`` cells nearest to the query; cells are widened until k rows remain.
+
+    Without ``probes`` there are as many as ``fit_cells`` found to be needed.
+    """
+    rows = sound_vectors(papers, len(query))
+    centre, wanted = fit_cells(rows, len(query), k, lists, fit_rows)
+    if not len(centre):
+        return vector_topk(papers, query, k)
+    q = np.array(query, np.float32)
+    near = np.argsort(-(centre @ (q / np.linalg.norm(q))), kind="stable")
+    placed = in_cells(rows, centre)
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
     taken, held = [], 0
     for c in near.tolist():
-        if len(taken) >= probes and held >= k:
+        if len(taken) >= (wanted if probes is None else probes) and held >= k:
             break
         taken.append(c)
         held += sizes.get(c, 0)
     qc = F.array(*[F.lit(float(v)) for v in query])
     return placed.where(F.col("cell").isin(taken)).select("id", cosine(F.col("embedding"), qc).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def ivf_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, lists: int = 16, probes: int | None = None, fit_rows: int = 5000) -> DataFrame:
+    """(query_id, id, score, rank): ``ivf_topk`` of every row of ``queries``, with the cells fitted once.
+
+    A stated, bounded set of queries; each row is compared with those that probe its cell.
+    """
+    rows = sound_vectors(papers, dim)
+    centre, wanted = fit_cells(rows, dim, k, lists, fit_rows)
+    if not len(centre):
+        return vector_batch_topk(papers, queries, dim, k)
+    placed = in_cells(rows, centre)
+    sizes = np.zeros(len(centre), np.int64)
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        sizes[r["cell"]] = r["n"]
+    held = queries.select(F.col("id").alias("q"), "embedding").toArrow()
+    if held.num_rows > 50_000:
+        raise ValueError("split the query set into blocks of at most 50,000")
+    m = held["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    order = np.argsort(-(m.astype(np.float32) @ centre.T), axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    take = np.zeros(order.shape, bool)
+    np.put_along_axis(take, order, (np.arange(len(centre))[None, :] < (wanted if probes is None else probes)) | (before < k), 1)
+    shared = papers.sparkSession.sparkContext.broadcast((held["q"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True), take))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, take = shared.value
+        for b in batches:
+            own, cell = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            for c in np.unique(cell):
+                asking, rows = np.flatnonzero(take[:, c]), np.flatnonzero(cell == c)
+                rows = rows[np.argsort(own[rows], kind="stable")]
+                s = q[asking] @ v[rows].T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qids[asking], top.shape[1])), pa.array(own[rows][top.ravel()]), pa.array(np.take_along_axis(s, top, 1).ravel())],
+                    names=["query_id", "id", "score"],
+                )
+
+    best = placed.mapInArrow(run, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -470,7 +470,7 @@ def export_bibtex(s, d):
 
 # evaluation
 def recall_at_k(s, d):
-    """The approximate cells' recall against the exact order, for one query."""
+    """The measure on a known list: the exact order less every fifth id, for one query. ``ivf_recall`` measures the cells."""
     p, q = papers(s, d), query_vector(s, d)
     w = lambda df: search.ranked(df, 20).join(df, "id").select(F.lit(0).alias("query_id"), "id", "rank", "score")
     return evaluation.recall_at_k(w(search.vector_topk(p, q, 20)), w(search.vector_topk(p, q, 40).where("id % 5 <> 0").limit(20)), 10)
@@ -484,6 +484,25 @@ def recall_by_group(s, d):
     return rounded(found, "recall")
 
 
+def _ivf_lists(s, d):
+    """(exact, found): brute force and the cells' answers to the queries of ``vector_batch_topk``."""
+    p = papers(s, d)
+    queries = search.sound_vectors(p, DIM).where("id % 20 = 0")
+    return search.vector_batch_topk(p, queries, DIM, 10), search.ivf_batch_topk(p, queries, DIM, 10)
+
+
+def ivf_recall(s, d):
+    """The approximate cells' recall at 10 against brute force, for each query of ``vector_batch_topk``."""
+    return evaluation.recall_at_k(*_ivf_lists(s, d), 10)
+
+
+def ivf_recall_by_group(s, d):
+    """The same by the found papers' age."""
+    exact, found = _ivf_lists(s, d)
+    groups = papers(s, d).select("id", (F.col("year") >= 2015).alias("grp"))
+    return rounded(evaluation.recall_by_group(exact.select("query_id", "id", "rank"), found.select("query_id", "id", "rank"), groups, 10), "recall")
+
+
 def fusion_convergence(s, d):
     p, q = papers(s, d), query_vector(s, d)
     kw, vec = search.bm25(p, TEXT, 200), search.vector_topk(p, q, 200)
@@ -545,7 +564,7 @@ NAMES = [
     *["merge_roundtrip", "unwind_candidates", "orphan_records", "corpus_totals", "by_source", "records_by_query", "papers_by_query"],
     *["embedding_coverage", "merges_by_strategy", "corr_tail", "bucket_topn", "title_sample", "stratified_sample", "document_text"],
     *["embed_backlog", "embed_hash", "l2_normalize", "screenings_current", "collection_summary", "collection_papers", "conflicts", "resolutions_stale", "member_progress"],
-    *["cohen_kappa", "krippendorff_alpha", "export_csv_cells", "bibtex_key", "export_bibtex", "recall_at_k", "recall_by_group", "fusion_convergence"],
+    *["cohen_kappa", "krippendorff_alpha", "export_csv_cells", "bibtex_key", "export_bibtex", "recall_at_k", "recall_by_group", "ivf_recall", "ivf_recall_by_group", "fusion_convergence"],
     *["latency_percentiles", "stability_gate", "paired_ratio", "weighted_prf", "binary_kappa", "wilson_ci", "p5_found"],
 ]
 

@@ -192,3 +192,14 @@ def test_bibtex_letters(spark):
 @pytest.mark.parametrize("name", ["boilerplate_seed", "source_overlap"])
 def test_functions_exist(name):
     assert callable(getattr(pairs, name))
+
+
+def test_ivf_recall_against_brute_force(spark, sf_dir):
+    from paperloom.plans import catalog
+
+    rows = catalog.ivf_recall(spark, sf_dir).collect()
+    assert rows and sum(r.recall for r in rows) / len(rows) >= 0.9
+    p = catalog.papers(spark, sf_dir)
+    one = search.sound_vectors(p, catalog.DIM).orderBy("id").limit(1)
+    batch = search.ivf_batch_topk(p, one, catalog.DIM, 20).orderBy("rank").collect()
+    assert [r.id for r in batch] == [r.id for r in search.ivf_topk(p, list(one.first().embedding), 20).collect()]
