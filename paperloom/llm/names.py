@@ -2,7 +2,7 @@
 
 1. Distinct strings are folded and cut into words; the corpus's own statistics say which
    word is the family name (or a body's own name): the one with fewest distinct partners.
-   Rare words are ambiguous and keep both readings.
+   Rare words are ambiguous and keep both readings; a person's more frequent word is a spare one.
 2. The distinct family names are joined within an edit radius. Cells are metric balls: a
    name belongs to every pivot it reaches by at most r deletions. By the triangle
    inequality names sharing a pivot are within 2r, and any two names within r share a
@@ -77,7 +77,7 @@ NICKNAMES = {
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "’": "'", "`": "'"})
 
 MAX_RADIUS = 2
-#: A word with more distinct partners than this, and several times its neighbour's, is no family name.
+#: A word with more distinct partners than this, and several times its neighbour's, is a family name in a spare reading only.
 COMMON_WORD = 30
 
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
@@ -221,9 +221,11 @@ def name_forms(names: DataFrame) -> DataFrame:
     ranked = weighed.groupBy("name").agg(F.array_sort(F.collect_list("w")).alias("by_degree"))  # a name's own words
     rows = cut.join(ranked, "name")
     first, second = F.get("by_degree", F.lit(0)), F.get("by_degree", F.lit(1))
-    open_order = (F.size("by_degree") > 1) & ~second["kind"] & (second["degree"] <= F.greatest(first["degree"] * 3, F.lit(COMMON_WORD)))
-    readings = F.when(open_order, F.array(first, second)).otherwise(F.array(first))
-    out = rows.select("name", "n", "body", "words", "units", "initials", "acronym", F.explode(readings).alias("s"))
+    frequent = second["degree"] > F.greatest(first["degree"] * 3, F.lit(COMMON_WORD))
+    open_order = (F.size("by_degree") > 1) & ~second["kind"] & (~frequent | (~F.col("body") & (first["unit"] != second["unit"])))
+    reading = lambda word, spare: F.struct(word.alias("s"), F.coalesce(spare, F.lit(False)).alias("spare"))
+    readings = F.when(open_order, F.array(reading(first, F.lit(False)), reading(second, frequent))).otherwise(F.array(reading(first, F.lit(False))))
+    out = rows.select("name", "n", "body", "words", "units", "initials", "acronym", F.explode(readings).alias("r")).select("*", "r.s", "r.spare")
     others = F.filter(F.arrays_zip("words", "units"), lambda w: (w["words"] != F.col("s.word")) & (F.col("body") | (w["units"] != F.col("s.unit"))))
     rest = F.transform(others, lambda w: w["words"])
     return out.select(
@@ -235,6 +237,7 @@ def name_forms(names: DataFrame) -> DataFrame:
         F.when(F.col("body"), F.array_join(F.array_sort(F.array_distinct(rest)), " ")).otherwise(F.coalesce(F.get(rest, F.lit(0)), F.lit(""))).alias("given"),
         "initials",
         "acronym",
+        "spare",
     )
 
 
@@ -254,7 +257,7 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     forms = name_forms(names.where(F.col("name").isNotNull() & ~F.col("name").rlike(PLACEHOLDER)))
     middle = F.when(F.col("given") == "", F.coalesce(F.get("initials", F.lit(1)), F.lit(""))).otherwise(F.coalesce(F.get("initials", F.lit(0)), F.lit("")))
     forms = forms.select(
-        "name", "n", "body", "sur", "spelt",
+        "name", "n", "body", "sur", "spelt", "spare",
         F.when(F.col("body"), F.col("given")).otherwise(formal_given(F.col("given"))).alias("given"),
         F.coalesce(F.get("initials", F.lit(0)), F.lit("")).alias("first"),
         F.when(F.col("body"), "").otherwise(middle).alias("middle"),
@@ -282,11 +285,22 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     anchored = durable(anchored)
     attached = _attach_initials(forms, anchored, near)
     by_form = anchored.select("form", "entity", F.col("n").alias("weight")).unionByName(attached)
-    placed = forms.join(by_form, "form").select("name", "entity", "weight")
+    placed = durable(forms.join(by_form, "form").select("name", "entity", "weight", "spare"))
     # a name of two readings takes the one whose entity has more spellings
-    size = placed.groupBy("entity").agg(F.count_distinct("name").alias("spellings"))
-    best = placed.join(size, "entity").groupBy("name").agg(F.max(F.struct("spellings", "weight", "entity")).alias("m"))
-    return best.select("name", F.col("m.entity").alias("entity"))
+    usual = placed.where("not spare")
+    size = usual.groupBy("entity").agg(F.count_distinct("name").alias("spellings"))
+    best = durable(usual.join(size, "entity").groupBy("name").agg(F.max(F.struct("spellings", "weight", "entity")).alias("m")).select("name", F.col("m.entity").alias("entity")))
+    return best.join(_wider(best, placed), "entity", "left").select("name", F.coalesce("wider", "entity").alias("entity"))
+
+
+def _wider(best: DataFrame, placed: DataFrame) -> DataFrame:
+    """(entity, wider): the entities whose names all have a spare reading in one larger entity; so none is torn apart."""
+    spare = placed.where("spare").select("name", F.col("entity").alias("wider")).distinct()
+    held = best.groupBy("entity").agg(F.count(F.lit(1)).alias("names"))
+    whole = best.join(spare, "name").groupBy("entity", "wider").agg(F.count(F.lit(1)).alias("shared")).join(held, "entity").where("shared = names and wider <> entity")
+    size = placed.groupBy(F.col("entity").alias("wider")).agg(F.count_distinct("name").alias("spellings"))
+    larger = whole.join(size, "wider").where("spellings > names")
+    return larger.groupBy("entity").agg(F.max(F.struct("spellings", "wider")).alias("m")).select("entity", F.col("m.wider").alias("wider"))
 
 
 def _attach_initials(forms: DataFrame, anchored: DataFrame, near: DataFrame) -> DataFrame:

@@ -56,3 +56,10 @@ def test_metric_balls_equal_brute_force(spark):
 def test_cut_name():
     assert cut_name("de Boer, Jan")[1] == ["jan", "de", "boer"]
     assert cut_name("Smith AB")[4] == ["a", "b"]
+
+
+def test_a_frequent_family_name_keeps_its_reading(spark):
+    one = ["William Smith", "Bill Smith", "W. Smith", "Smith, William"]
+    crowd = [f"{a}{b}elo Smith" for a in ("Brun", "Dag", "Fjor", "Gunt", "Hesk", "Jarv", "Klim") for b in ("va", "ri", "mu", "xo", "te")]
+    got = entities(spark, one, crowd, ["William Jones", "William Brown"])
+    assert set(one) in got
