@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import STOP_WORDS, cosine, tokens
+from paperloom.session import durable
 
 TITLE_WEIGHT, ABSTRACT_WEIGHT = 1.0, 0.4
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -164,14 +165,25 @@ def vector_topk(papers: DataFrame, query: list[float], k: int = 20, low: int | N
     return rows.select("id", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def vector_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, block: int = 2000) -> DataFrame:
-    """(query_id, id, score, rank): a stated, bounded set of queries against all rows, one matrix product per batch.
+def vector_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, block: int = 2000, most: int = 50_000) -> DataFrame:
+    """(query_id, id, score, rank): a set of queries against all rows, in blocks of about ``most`` queries chosen by the hash of their id."""
+    parts = -(-queries.count() // most)
+    if parts <= 1:
+        return _block_topk(papers, queries, dim, k, block)
+    out = None
+    for i in range(parts):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+        top = durable(_block_topk(papers, part, dim, k, block))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def _block_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int, block: int) -> DataFrame:
+    """One block of queries against all rows, one matrix product per batch.
 
     Each batch keeps its k best per query; a window over those merges them.
     """
     held = queries.select(F.col("id").alias("q"), "embedding").toArrow()
-    if held.num_rows > 50_000:
-        raise ValueError("split the query set into blocks of at most 50,000")
     ids = held["q"].to_numpy()
     m = held["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     shared = papers.sparkSession.sparkContext.broadcast((ids, m / np.linalg.norm(m, axis=1, keepdims=True)))

@@ -203,3 +203,12 @@ def test_ivf_recall_against_brute_force(spark, sf_dir):
     one = search.sound_vectors(p, catalog.DIM).orderBy("id").limit(1)
     batch = search.ivf_batch_topk(p, one, catalog.DIM, 20).orderBy("rank").collect()
     assert [r.id for r in batch] == [r.id for r in search.ivf_topk(p, list(one.first().embedding), 20).collect()]
+
+
+def test_batch_goes_on_in_blocks(spark, sf_dir):
+    from paperloom.plans import catalog
+
+    p = catalog.papers(spark, sf_dir)
+    q = search.sound_vectors(p, catalog.DIM).where("id % 20 = 0")
+    order = lambda df: sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert order(search.vector_batch_topk(p, q, catalog.DIM, 5, most=3)) == order(search.vector_batch_topk(p, q, catalog.DIM, 5))
