@@ -303,11 +303,19 @@ def ivf_topk(papers: DataFrame, query: list[float], k: int = 20, lists: int = 16
     return placed.where(F.col("cell").isin(taken)).select("id", cosine(F.col("embedding"), qc).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def ivf_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, lists: int = 16, probes: int | None = None, fit_rows: int = 5000) -> DataFrame:
+def ivf_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, lists: int = 16, probes: int | None = None, fit_rows: int = 5000, most: int = 50_000) -> DataFrame:
     """(query_id, id, score, rank): ``ivf_topk`` of every row of ``queries``, with the cells fitted once.
 
-    A stated, bounded set of queries; each row is compared with those that probe its cell.
+    Each row is compared with the queries that probe its cell, in blocks of about ``most`` queries.
     """
+    parts = -(-queries.count() // most)
+    if parts > 1:
+        out = None
+        for i in range(parts):
+            part = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+            top = durable(ivf_batch_topk(papers, part, dim, k, lists, probes, fit_rows, most=1 << 62))
+            out = top if out is None else out.unionByName(top)
+        return out
     rows = sound_vectors(papers, dim)
     centre, wanted = fit_cells(rows, dim, k, lists, fit_rows)
     if not len(centre):
@@ -317,8 +325,6 @@ def ivf_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
         sizes[r["cell"]] = r["n"]
     held = queries.select(F.col("id").alias("q"), "embedding").toArrow()
-    if held.num_rows > 50_000:
-        raise ValueError("split the query set into blocks of at most 50,000")
     m = held["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     order = np.argsort(-(m.astype(np.float32) @ centre.T), axis=1, kind="stable")
     before = np.cumsum(sizes[order], axis=1) - sizes[order]

@@ -212,3 +212,4 @@ def test_batch_goes_on_in_blocks(spark, sf_dir):
     q = search.sound_vectors(p, catalog.DIM).where("id % 20 = 0")
     order = lambda df: sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
     assert order(search.vector_batch_topk(p, q, catalog.DIM, 5, most=3)) == order(search.vector_batch_topk(p, q, catalog.DIM, 5))
+    assert order(search.ivf_batch_topk(p, q, catalog.DIM, 5, most=3)) == order(search.ivf_batch_topk(p, q, catalog.DIM, 5))
