@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm.language import cut_segments, document_languages, fit_language_model, known_language, mislabelled, segment_languages
+from paperloom.llm.language import cut_segments, decide, document_languages, fit_language_model, known_language, mislabelled, presence, segment_languages, shape
 
 SAID = {
     "en": "the old house near the river was sold because nobody wanted to live there after the long winter and the children had left",
@@ -50,9 +52,39 @@ def test_held_out_accuracy():
     rng = random.Random(3)
     model = fit_language_model(corpus(rng))
     test = [(sentence(k, random.Random(9 + i), 6), k) for k in SAID for i in range(20)]
-    scores = model.scores([s for s, _ in test])
+    scores = model.scores([shape(s) for s, _ in test])
     assert (scores.argmax(1) == [list(SAID).index(k) for _, k in test]).mean() > 0.95
-    assert 0 <= model.confidence(scores).min() <= model.confidence(scores).max() <= 1
+    chances = model.chances(scores)
+    assert np.allclose(chances.sum(1), 1) and chances.min() > 0
+
+
+def test_presence_equals_sets():
+    said = [shape(s) for s in ("Banana na", "a", "xx  xx", "banana na", "äöü ß" * 30)] * 9
+    got = {}
+    for (owner, gram), n in zip(presence(said), (2, 3, 4), strict=True):
+        assert (np.diff(owner) >= 0).all()
+        for i, s in enumerate(said):
+            got[i, n] = sorted(gram[owner == i])
+            assert len(got[i, n]) == len({s[j : j + n] for j in range(len(s) - n + 1)})
+    assert got[0, 3] == got[3, 3]
+
+
+def test_sequence_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        words = [rng.integers(1, 9, n) for n in (0, 1, 4, 2)]
+        chances = [rng.dirichlet([0.3] * 3, len(w)) + 1e-6 for w in words]
+        for w, c, got in zip(words, chances, decide(words, chances, 1.2), strict=True):
+            def worth(path, w=w, c=c):
+                return sum(np.log(c[i, k]) for i, k in enumerate(path) if w[i] >= 3) - 1.2 * sum(x != y for x, y in zip(path, path[1:], strict=False))
+            best = max((worth(p) for p in itertools.product(range(3), repeat=len(w))), default=0.0)
+            assert len(got) == len(w) and abs(worth(list(got)) - best) < 1e-9
+
+
+def test_same_rows_for_any_partitioning(spark, found):
+    want = sorted((r.doc_id, r.lang) for r in found[1])
+    for other in (found[0].repartition(3), found[0].repartition(5, "doc_id"), found[0].coalesce(1).orderBy(F.desc("doc_id"))):
+        assert sorted((r.doc_id, r.lang) for r in mislabelled(document_languages(other)).collect()) == want
 
 
 def test_segments(spark, found):
