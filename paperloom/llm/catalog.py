@@ -32,6 +32,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(entity_spellings(author_names(read_table(spark, sf_dir, "papers"))))
 
 
+def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_spellings(author_names(read_table(spark, sf_dir, "papers")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_records(read_table(spark, sf_dir, "papers"), record_groups(spark, sf_dir), max_size=8)
 
@@ -83,6 +87,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p1_spellings": p1_spellings,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,

@@ -10,9 +10,9 @@
    true Damerau-Levenshtein distance decides. (Voronoi cells of sampled pivots do not work here:
    edit distances between names concentrate, and the boundary rule d(x, p) <= d(x, p_x) +
    2r replicates nearly every name to nearly every pivot; the README has the figures.)
-3. Forms (family name, given name or a body's remaining words, middle initial) are
-   joined on a family-name match and a pivot of the given name, so that a very frequent
-   family name alone is never a group; exact checks follow: nicknames, initials, typos.
+3. The distinct given names (and remaining words of bodies) are joined the same way. Forms
+   (family name, given name or a body's remaining words, middle initial) meet where both
+   names match, so that a very frequent family name alone is never a group.
 4. Matching forms become groups by star contraction. Forms with initials only attach
    to one group: the same accents first, then the nearest spelling, an agreeing middle
    initial, the more frequent group. Acronym forms of bodies attach the same way.
@@ -77,8 +77,8 @@ NICKNAMES = {
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "’": "'", "`": "'"})
 
 MAX_RADIUS = 2
-#: A word with more distinct partners than this, and several times its neighbour's, is a family name in a spare reading only.
-COMMON_WORD = 30
+#: A word with more times the mean number of distinct partners than this, and several times its neighbour's, is a family name in a spare reading only.
+COMMON_WORD = 10
 
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
@@ -192,13 +192,12 @@ def near_words(words: DataFrame, word: str) -> DataFrame:
     # exploded rows: the size of the files says nothing, so no side may be taken for small
     both = left.join(right.hint("merge"), "pivot").where((F.col("a") <= F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= MAX_RADIUS))
     pairs = durable(both.select("a", "b").distinct().withColumn("d", F.levenshtein("a", "b")).where(F.col("d") <= 2 * MAX_RADIUS))
-    # a swap costs Levenshtein two: only pairs that hold one can come closer, and only they go to Python
+    # a swap costs Levenshtein two: a pair that can hold one is measured by the true metric in Python, whatever its length
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     left_over = F.size(F.array_except(letters("a"), letters("b"))) + F.size(F.array_except(letters("b"), letters("a")))
-    swaps = pairs.where((F.col("d") > MAX_RADIUS) & (F.when(F.col("d") == 4, letters("a") == letters("b")).otherwise(left_over <= 2)))
-    swaps = swaps.repartition(task_target(words.sparkSession)).withColumn("d", F.pandas_udf(_with_swaps, "int")("a", "b"))
-    pairs = pairs.where(F.col("d") <= MAX_RADIUS).unionByName(swaps.where(F.col("d") <= MAX_RADIUS))
-    pairs = pairs.where(F.col("d") <= radius(F.least(F.length("a"), F.length("b"))))
+    swap = F.when(F.col("d") == 3, left_over <= 2).otherwise((F.col("d") > 1) & (letters("a") == letters("b")))
+    swaps = pairs.where(swap).repartition(task_target(words.sparkSession)).withColumn("d", F.pandas_udf(_with_swaps, "int")("a", "b"))
+    pairs = pairs.where(~swap).unionByName(swaps).where(F.col("d") <= radius(F.least(F.length("a"), F.length("b"))))
     return pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
@@ -219,9 +218,10 @@ def name_forms(names: DataFrame) -> DataFrame:
         "name", F.struct(F.col("words").isin(*BODY_WORDS, *SHORTENED.values()).alias("kind"), F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("words")).alias("short"), "at", F.col("words").alias("word"), "spelt", F.col("units").alias("unit")).alias("w")
     )
     ranked = weighed.groupBy("name").agg(F.array_sort(F.collect_list("w")).alias("by_degree"))  # a name's own words
-    rows = cut.join(ranked, "name")
+    mean = partners.agg(F.coalesce(F.avg("degree"), F.lit(0.0)).alias("mean_degree"))  # one row
+    rows = cut.join(ranked, "name").join(F.broadcast(mean))
     first, second = F.get("by_degree", F.lit(0)), F.get("by_degree", F.lit(1))
-    frequent = second["degree"] > F.greatest(first["degree"] * 3, F.lit(COMMON_WORD))
+    frequent = second["degree"] > F.greatest(first["degree"] * 3, F.col("mean_degree") * COMMON_WORD)
     open_order = (F.size("by_degree") > 1) & ~second["kind"] & (~frequent | (~F.col("body") & (first["unit"] != second["unit"])))
     reading = lambda word, spare: F.struct(word.alias("s"), F.coalesce(spare, F.lit(False)).alias("spare"))
     readings = F.when(open_order, F.array(reading(first, F.lit(False)), reading(second, frequent))).otherwise(F.array(reading(first, F.lit(False))))
@@ -241,12 +241,6 @@ def name_forms(names: DataFrame) -> DataFrame:
     )
 
 
-def _swapped(a: str, b: str) -> Column:
-    """Two neighbouring letters changed places."""
-    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    return (F.length(a) >= 4) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (letters(a) == letters(b))
-
-
 def formal_given(given: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, given), given)
@@ -268,17 +262,13 @@ def entity_spellings(names: DataFrame) -> DataFrame:
     near = durable(near_words(forms, "sur"))
     whole = forms.where("kind <> 'initials'").groupBy("form", "kind", "sur", "given", "middle", "spelt").agg(F.sum("n").alias("n"))
     whole = durable(whole)
-    left = whole.select(F.col("form").alias("a"), "kind", F.col("sur"), F.col("given").alias("given_a"), F.col("middle").alias("middle_a"))
-    left = left.withColumn("pivot", F.explode(pivots(F.col("given_a"))))
-    right = whole.select(F.col("form").alias("b"), F.col("kind").alias("kind_b"), F.col("sur").alias("sur_b"), F.col("given").alias("given_b"), F.col("middle").alias("middle_b"))
-    right = right.withColumn("pivot", F.explode(pivots(F.col("given_b"))))
-    met = left.join(near.select(F.col("a").alias("sur"), F.col("b").alias("sur_b")).hint("merge"), "sur").join(right.hint("merge"), ["sur_b", "pivot"])
-    agree = (
-        (F.col("kind") == F.col("kind_b"))
-        & (F.col("a") < F.col("b"))
-        & ((F.levenshtein("given_a", "given_b") <= radius(F.least(F.length("given_a"), F.length("given_b")))) | _swapped("given_a", "given_b"))
-        & ((F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.col("middle_a") == F.col("middle_b")))
-    )
+    given = durable(near_words(whole, "given"))
+    side = lambda c: whole.select(F.col("form").alias(c), "kind", F.col("sur").alias(f"sur_{c}"), F.col("given").alias(f"given_{c}"), F.col("middle").alias(f"middle_{c}"))
+    # both names of a form are looked up among the distinct names, so a frequent one meets its few neighbours and never a block of forms
+    left = side("a").join(near.select(F.col("a").alias("sur_a"), F.col("b").alias("sur_b")).hint("merge"), "sur_a")
+    left = left.join(given.select(F.col("a").alias("given_a"), F.col("b").alias("given_b")).hint("merge"), "given_a")
+    met = left.join(side("b").hint("merge"), ["kind", "sur_b", "given_b"])
+    agree = (F.col("a") < F.col("b")) & ((F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.col("middle_a") == F.col("middle_b")))
     links = met.where(agree).select("a", "b").distinct()
     grouped = connected_groups(links)
     anchored = whole.join(grouped, whole["form"] == grouped["id"], "left").select("form", "kind", "sur", "spelt", "given", "middle", "n", F.coalesce("group_id", "form").alias("entity"))

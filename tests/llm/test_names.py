@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from paperloom.llm.names import author_names, cut_name, damerau, entity_spellings, near_words, spelling_pairs
@@ -53,6 +55,22 @@ def test_metric_balls_equal_brute_force(spark):
     assert got == {(a, b) for a in words for b in words if damerau(a, b) <= r(a, b)}
 
 
+def test_random_words_with_swaps_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = set()
+    for n in range(3, 10):
+        for _ in range(12):
+            w = "".join(rng.choice("abce") for _ in range(n))
+            i = rng.randrange(n - 1)
+            v = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            j = rng.randrange(len(v))
+            words |= {w, v, v[:j] + "x" + v[j + 1 :], v[:j] + v[j + 1 :]}
+    words |= {"lopez", "lpoez", "weber", "weebr", "schmidt", "shcmidt"}
+    got = {(r.a, r.b): r.d for r in near_words(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()}
+    r = lambda a, b: 0 if min(len(a), len(b)) <= 3 else 1 if min(len(a), len(b)) <= 5 else 2
+    assert got == {(a, b): d for a in words for b in words if (d := damerau(a, b)) <= r(a, b)}
+
+
 def test_cut_name():
     assert cut_name("de Boer, Jan")[1] == ["jan", "de", "boer"]
     assert cut_name("Smith AB")[4] == ["a", "b"]
