@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm.consensus import current_labels, digamma, fit_consensus, krippendorff, normal_decision
+from paperloom.llm import consensus
+from paperloom.llm.consensus import current_labels, digamma, fit_consensus, log_gamma, krippendorff, normal_decision
 
 SCHEMA = "collection_id long, paper_id long, user_id long, decision string, decided_at timestamp_ntz, y string, u long"
 T = dt.datetime(2024, 1, 1)
@@ -66,3 +68,23 @@ def test_krippendorff(spark):
     rows = [(1, p, u, d, T) for p, ds in enumerate([("include", "include"), ("exclude", "exclude"), ("include", "exclude")]) for u, d in enumerate(ds)]
     got = krippendorff(current_labels(frame(spark, rows))).first()
     assert (got.items, got["values"]) == (3, 6) and got.alpha == pytest.approx(1 - (2 / 6) / (18 / 30))
+
+
+@pytest.mark.parametrize("x", [0.3, 1.0, 2.5, 40.0, 1e5])
+def test_log_gamma(spark, x):
+    assert spark.range(1).select(log_gamma(F.lit(x)).alias("v")).first().v == pytest.approx(math.lgamma(x), abs=1e-8, rel=1e-12)
+
+
+def test_a_cut_off_fit_says_so(spark):
+    rows = [(1, p, u, "include" if (p * u) % 3 else "exclude", T) for p in range(30) for u in range(4)]
+    with pytest.warns(RuntimeWarning):
+        assert not fit_consensus(current_labels(frame(spark, rows)), max_rounds=1).converged
+    assert fit_consensus(current_labels(frame(spark, rows))).converged
+
+
+def test_tables_beyond_the_driver_limit_give_the_same(spark, monkeypatch):
+    rows = [(p % 2, p, u, "include" if (p * u) % 3 else "exclude", T) for p in range(40) for u in range(5)]
+    few = fit_consensus(current_labels(frame(spark, rows)))
+    monkeypatch.setattr(consensus, "DRIVER_ROWS", 2)
+    many = fit_consensus(current_labels(frame(spark, rows)))
+    assert few.rounds == many.rounds and sorted(few.items.collect()) == sorted(many.items.collect())
