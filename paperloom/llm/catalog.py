@@ -11,7 +11,7 @@ from paperloom.llm.bpe import encode_corpus
 from paperloom.llm.components import connected_groups, strong_links
 from paperloom.llm.consensus import current_labels, fit_consensus, krippendorff
 from paperloom.llm.language import document_languages, mislabelled, segment_languages
-from paperloom.llm.leakage import item_matches, leaked_pairs
+from paperloom.llm.leakage import item_matches, leaked_pairs, without_leaks
 from paperloom.llm.matching import match_records
 from paperloom.llm.names import author_names, entity_spellings, spelling_pairs
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
@@ -77,6 +77,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_pairs(item_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark_items")))
 
 
+def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark_items"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that remain when the leaking ones are removed."""
+    return without_leaks(read_table(spark, sf_dir, "documents"), p9_found(spark, sf_dir)).select("doc_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(document_languages(read_table(spark, sf_dir, "documents"))).select("doc_id", "lang")
 
@@ -98,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "p7_agreement": p7_agreement,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p9_matches": p9_matches,
+    "p9_kept": p9_kept,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
