@@ -15,7 +15,7 @@ from paperloom.llm.leakage import item_matches, leaked_pairs, without_leaks
 from paperloom.llm.matching import match_records
 from paperloom.llm.names import author_names, entity_spellings, spelling_pairs
 from paperloom.llm.neighbours import nearest_neighbours, neighbour_pairs
-from paperloom.llm.survivorship import best_records
+from paperloom.llm.survivorship import best_records, merged_record
 from paperloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_records(read_table(spark, sf_dir, "papers"), record_groups(spark, sf_dir), max_size=8)
 
 
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One built record per group; of equal values that of the curated catalogue, then the latest, is taken."""
+    papers = read_table(spark, sf_dir, "papers")
+    curated = F.when(F.col("pubmed_id").isNotNull(), 2).when(F.col("arxiv_id").isNotNull(), 0).otherwise(1)
+    return merged_record(papers, best_records(papers, record_groups(spark, sf_dir), max_size=8, priority=curated, timestamp=F.col("created_at")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(spark, sf_dir).withColumnRenamed("id", "paper_id")
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_spellings": p1_spellings,
     "p2_found": p2_found,
+    "p2_records": p2_records,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_matches": p4_matches,

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paperloom.llm.survivorship import best_records, full_venues, merged_record
 
 SCHEMA = "id long, venue string, abstract string, citation_count int, doi string, member long, size long, full string"
@@ -11,7 +13,8 @@ def row(i, venue=None, abstract=None, count=None, doi=None):
 
 
 def best(spark, rows, members):
-    papers = spark.createDataFrame([*rows, *[row(100 + i, "Journal of Ward Notes") for i in range(6)]], SCHEMA)
+    filler = [row(100 + i, "Journal of Ward Notes" if i < 6 else None, "We read the notes.") for i in range(60)]
+    papers = spark.createDataFrame([*rows, *filler], SCHEMA)
     groups = spark.createDataFrame(members, "id long, group_id long")
     return papers, best_records(papers, groups)
 
@@ -35,6 +38,21 @@ def test_nothing_fit_and_nulls(spark):
     assert got.count() == 0
 
 
+def test_odd_words_are_no_damage(spark):
+    said = ["H1N1 was found.", "The 1st group was read.", "An arc welding study.", "Once we ran the cat scan."]
+    _, got = best(spark, [row(i, None, a) for i, a in enumerate(said)], [(i, i) for i in range(len(said))])
+    assert sorted(r.paper_id for r in got.collect()) == [0, 1, 2, 3]
+
+
+def test_trust_decides_between_equal_values(spark):
+    rows = [row(1, "Journal of Ward Notes"), row(2, "Journal of Ward Notes"), row(3, "Journal of Ward Notes")]
+    papers, _ = best(spark, rows, [])
+    papers = papers.withColumns({"trust": F.when(F.col("id") > 1, 1), "at": -F.col("id")})
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, group_id long")
+    assert [r.paper_id for r in best_records(papers, groups, priority=F.col("trust"), timestamp=F.col("at")).collect()] == [2]
+    assert [r.paper_id for r in best_records(papers, groups, timestamp=-F.col("at")).collect()] == [3]
+
+
 def test_large_groups_are_left_out_and_repeats_change_nothing(spark):
     rows = [row(i, None, None, i) for i in range(1, 12)]
     _, got = best(spark, rows, [(i, 1) for i in range(1, 10)] + [(10, 10), (11, 10)])
