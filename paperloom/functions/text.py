@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Resolver prefixes taken off a DOI, in this order.
-DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "doi:")
+DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi.org/", "doi:")
 #: Fixed value: what marks the title of a part (a figure, a supplement) of another work.
 PART_PREFIX = (
     "^(additional file|additional table|additional figure|supplementary|supplemental"
@@ -21,7 +21,7 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 def normalize_doi(doi: Column) -> Column:
     """Trimmed, lower case, without a resolver prefix; empty is null."""
-    out = F.lower(F.trim(doi))
+    out = F.lower(F.regexp_replace(doi, r"^\s+|\s+$", ""))
     for p in DOI_PREFIXES:
         out = F.when(F.startswith(out, F.lit(p)), F.substring(out, F.lit(len(p) + 1), F.length(out))).otherwise(out)
     return F.nullif(out, F.lit(""))

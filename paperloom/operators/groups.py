@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paperloom.operators.pairs import STRATEGIES, attributed, strategy_rank
+from paperloom.functions.text import set_similarity, trigrams
+from paperloom.operators.pairs import attributed, block_join, record_marks, strategy_rank
 from paperloom.session import durable, release
 
 CAP, CAP_OF = 8, {"title_exact": 2}
@@ -57,23 +57,38 @@ def group_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def chain_report(pairs: DataFrame, members: DataFrame, least: int = 4, gate: float = 0.92) -> DataFrame:
-    """(root, size, edges, density, mean_sim, chain): groups that hang together by few links."""
+def chain_report(pairs: DataFrame, members: DataFrame, papers: DataFrame, least: int = 4) -> DataFrame:
+    """(root, size, edges, density, mean_sim, min_sim): how alike the titles of all pairs of a group's records are.
+
+    Equal titles count as often as they occur but are compared once, and large groups are compared in cells.
+    Records without a paper or a title have no pairs.
+    """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    edges = attributed(pairs).join(members.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("edges"), F.avg("sim").alias("mean_sim"))
-    possible = F.col("size") * (F.col("size") - 1) / 2
-    out = size.join(edges, "root").withColumn("density", F.col("edges") / possible)
-    return out.withColumn("chain", (F.col("mean_sim") < gate) | (F.col("density") < 0.5))
+    edges = attributed(pairs).join(members.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("edges"))
+    titled = members.join(size.select("root"), "root").join(papers.select("id", "title_norm"), "id").where(F.col("title_norm").isNotNull())
+    by = titled.groupBy("root", "title_norm").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).withColumn("g", trigrams(F.col("title_norm")))
+    x, y = (by.select("root", F.col("low").alias(c), F.col("n").alias(f"n_{c}"), F.col("g").alias(f"g_{c}")) for c in ("x", "y"))
+    other = block_join(x, y, ["root"], "x", "y").where("x < y").select("root", (F.col("n_x") * F.col("n_y")).alias("w"), set_similarity(F.col("g_x"), F.col("g_y")).alias("sim"))
+    same = by.where("n > 1").select("root", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"), set_similarity(F.col("g"), F.col("g")).alias("sim"))
+    alike = other.unionByName(same).groupBy("root").agg((F.sum(F.col("sim") * F.col("w")) / F.sum("w")).alias("mean_sim"), F.min("sim").alias("min_sim"))
+    density = F.col("edges") / (F.col("size") * (F.col("size") - 1) / 2)
+    return size.join(edges, "root").join(alike, "root", "left").select("root", "size", "edges", density.alias("density"), "mean_sim", "min_sim")
 
 
 def publication_rank(papers: DataFrame, records: DataFrame) -> DataFrame:
     """(id, rank): 0 a preprint, 1 without a venue, 2 published."""
-    early = records.where(F.col("source") == "arxiv").select(F.col("paper_id").alias("id")).where("id is not null").distinct().withColumn("early", F.lit(True))
-    marked = papers.select("id", "venue", "doi").join(early, "id", "left")
-    preprint = F.col("early").isNotNull() | F.coalesce(F.contains("doi", F.lit("/preprints.")), F.lit(False)) | F.coalesce(F.col("venue").rlike("(?i)arxiv|preprint"), F.lit(False))
+    marked = papers.select("id", "venue", "doi").join(record_marks(records).withColumn("early", F.lit(True)), "id", "left")
+    preprint = F.col("early").isNotNull() | F.coalesce(F.contains("doi", F.lit("/preprints.")), F.lit(False)) | F.coalesce(F.col("venue").rlike("(?i)arxiv|biorxiv|medrxiv|preprint"), F.lit(False))
     return marked.select("id", F.when(preprint, 0).when(F.col("venue").isNull(), 1).otherwise(2).alias("rank"))
 
 
+def text_moved(papers: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id): the survivors whose title or abstract differs from what they had, so that their vector must be made again."""
+    new = merged.select(F.col("survivor").alias("id"), F.col("title").alias("new_title"), F.col("abstract").alias("new_abstract"))
+    both = papers.select("id", "title", "abstract").join(new, "id")
+    return both.where(~F.col("title").eqNullSafe(F.col("new_title")) | ~F.col("abstract").eqNullSafe(F.col("new_abstract"))).select("id")
+
+
 def survivors(members: DataFrame, ranks: DataFrame) -> DataFrame:
     """(root, survivor): the highest rank of a group, then the smallest id."""
     best = F.max(F.struct("rank", (-F.col("id")).alias("low")))
@@ -155,13 +170,3 @@ def orphans(records: DataFrame, papers: DataFrame) -> DataFrame:
 
 def unwind_candidates(snapshots: DataFrame, more_than: int) -> DataFrame:
     return snapshots.where(F.size("member_ids") > more_than)
-
-
-def known_strategies() -> tuple[str, ...]:
-    return STRATEGIES
-
-
-def row_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")

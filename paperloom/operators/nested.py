@@ -23,47 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.records import elements_at, is_string, text_at, works
+
 ROW = "array<struct<child:string,path:string,item:string>>"
 CHILDREN = ("author", "institution", "department", "location")
 
 
-def _variant(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
-
-
-def _text(v: Column, path: str = "$") -> Column:
-    return F.try_variant_get(v, path, "string")
-
-
-def _is_string(v: Column) -> Column:
-    return F.schema_of_variant(v) == "STRING"
-
-
-def _elements(v: Column, path: str) -> Column:
-    """The array at ``path``; a lone element becomes an array of one, a missing or null one an empty array."""
-    lone = _variant(v, path)
-    empty = F.array().cast("array<variant>")
-    return F.coalesce(
-        F.try_variant_get(v, path, "array<variant>"),
-        F.when(lone.isNotNull() & ~F.is_variant_null(lone), F.array(lone)),
-        empty,
-    )
-
-
-def _works(raw: Column) -> Column:
-    """Every record inside a raw text, whatever its wrapping."""
-    first = F.try_parse_json(raw)
-    inner = F.when(_is_string(first), F.try_parse_json(_text(first))).otherwise(first)
-    listed = F.try_variant_get(inner, "$.results", "array<variant>")
-    lone_result = _variant(inner, "$.results")
-    return F.coalesce(
-        listed,
-        F.when(lone_result.isNotNull() & ~F.is_variant_null(lone_result), F.array(lone_result)),
-        F.try_variant_get(inner, "$", "array<variant>"),
-        F.when(inner.isNotNull(), F.array(inner)),
-    )
-
-
 def _row(child: str, path: Column, item: Column) -> Column:
     return F.struct(F.lit(child).alias("child"), path.alias("path"), item.alias("item"))
 
@@ -73,9 +38,9 @@ def _join(*positions: Column) -> Column:
 
 
 def _authors(work: Column) -> Column:
-    named = F.transform(_elements(work, "$.authorships"), lambda a, i: _row("author", _join(i), _text(a, "$.author.display_name")))
+    named = F.transform(elements_at(work, "$.authorships"), lambda a, i: _row("author", _join(i), text_at(a, "$.author.display_name")))
     plain = F.transform(
-        _elements(work, "$.authors"), lambda a, i: _row("author", _join(i), F.when(_is_string(a), _text(a)))
+        elements_at(work, "$.authors"), lambda a, i: _row("author", _join(i), F.when(is_string(a), text_at(a)))
     )
     return F.concat(named, plain)
 
@@ -83,9 +48,9 @@ def _authors(work: Column) -> Column:
 def _institutions(work: Column) -> Column:
     return F.flatten(
         F.transform(
-            _elements(work, "$.authorships"),
+            elements_at(work, "$.authorships"),
             lambda a, i: F.transform(
-                _elements(a, "$.institutions"), lambda x, j: _row("institution", _join(i, j), _text(x, "$.id"))
+                elements_at(a, "$.institutions"), lambda x, j: _row("institution", _join(i, j), text_at(x, "$.id"))
             ),
         )
     )
@@ -94,13 +59,13 @@ def _institutions(work: Column) -> Column:
 def _departments(work: Column) -> Column:
     return F.flatten(
         F.transform(
-            _elements(work, "$.authorships"),
+            elements_at(work, "$.authorships"),
             lambda a, i: F.flatten(
                 F.transform(
-                    _elements(a, "$.institutions"),
+                    elements_at(a, "$.institutions"),
                     lambda x, j: F.transform(
-                        _elements(x, "$.departments"),
-                        lambda d, k: _row("department", _join(i, j, k), _text(d, "$.name")),
+                        elements_at(x, "$.departments"),
+                        lambda d, k: _row("department", _join(i, j, k), text_at(d, "$.name")),
                     ),
                 )
             ),
@@ -109,7 +74,7 @@ def _departments(work: Column) -> Column:
 
 
 def _locations(work: Column) -> Column:
-    return F.transform(_elements(work, "$.locations"), lambda x, i: _row("location", _join(i), _text(x, "$.id")))
+    return F.transform(elements_at(work, "$.locations"), lambda x, i: _row("location", _join(i), text_at(x, "$.id")))
 
 
 WALKS: dict[str, Callable[[Column], Column]] = {
@@ -121,7 +86,7 @@ WALKS: dict[str, Callable[[Column], Column]] = {
 
 
 def _emit(records: DataFrame, id_col: str, raw_col: str, rows: Callable[[Column], Column]) -> DataFrame:
-    parsed = records.select(F.col(id_col).alias("record_id"), _works(F.col(raw_col)).alias("works"))
+    parsed = records.select(F.col(id_col).alias("record_id"), works(F.col(raw_col)).alias("works"))
     arrays = parsed.select(
         "record_id",
         F.array_distinct(

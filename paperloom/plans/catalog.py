@@ -137,6 +137,12 @@ def paper_link(s, d):
 
 
 def paper_refresh(s, d):
+    r = source_records(s, d)
+    return rec.refresh(papers(s, d), rec.derive_papers(r), rec.owners(r)).select("id", "title", "title_norm", "citation_count")
+
+
+def paper_refresh_all(s, d):
+    """Every rewritten field, and whether the text changed."""
     r = source_records(s, d)
     return rec.refresh(papers(s, d), rec.derive_papers(r), rec.owners(r)).drop("embedding")
 
@@ -146,8 +152,7 @@ def ingest_derived(s, d):
 
 
 def extract_venue(s, d):
-    r = source_records(s, d).withColumn("v", rec.unwrapped(F.col("raw")))
-    return r.where("source = 'openalex' and v is not null").select("id", rec.extract_venue().alias("venue"))
+    return rec.opened(source_records(s, d).where("source = 'openalex'")).select("id", rec.extract_venue().alias("venue"))
 
 
 def extract_authors(s, d):
@@ -159,7 +164,11 @@ def ingest_outcomes(s, d):
 
 
 def junk_types(s, d):
-    return rec.derive_papers(source_records(s, d)).groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"))
+    """The works of each type, and whether they become papers."""
+    derived = rec.derive_papers(source_records(s, d))
+    kept = rec.papers_only(derived).groupBy("source", "type").agg(F.count(F.lit(1)).alias("kept"))
+    every = derived.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(kept, every["source"].eqNullSafe(kept["source"]) & every["type"].eqNullSafe(kept["type"]), "left").select(every["source"], every["type"], "n", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 def deinvert_abstract(s, d):
@@ -208,7 +217,8 @@ def pairs_abstract_hash(s, d):
 
 
 def pairs_abstract_title(s, d):
-    return rounded(pairs.abstract_title(papers(s, d)), "sim")
+    p = papers(s, d)
+    return rounded(pairs.abstract_title(p, pairs.boilerplate_seed(p)), "sim")
 
 
 def pairs_title_exact(s, d):
@@ -224,11 +234,11 @@ def pairs_title_trgm(s, d):
 
 
 def preprints(s, d):
-    return pairs.preprints(papers(s, d)).select("id")
+    return pairs.preprints(papers(s, d), source_records(s, d)).select("id")
 
 
 def pairs_preprint_trgm(s, d):
-    return rounded(pairs.preprint_trgm(papers(s, d)), "sim")
+    return rounded(pairs.preprint_trgm(papers(s, d), records=source_records(s, d)), "sim")
 
 
 def _titles(s, d):
@@ -275,7 +285,7 @@ def pairs_minus_negative(s, d):
 
 def dedup_pairs(s, d):
     """Every strategy over the papers, each pair once."""
-    return rounded(pairs.attributed(pairs.all_pairs(papers(s, d))), "sim")
+    return rounded(pairs.attributed(pairs.all_pairs(papers(s, d), source_records(s, d))), "sim")
 
 
 # groups
@@ -298,7 +308,7 @@ def group_sizes(s, d):
 
 
 def chain_report(s, d):
-    return rounded(groups.chain_report(links(s, d), members(s, d)), "density", "mean_sim")
+    return rounded(groups.chain_report(links(s, d), members(s, d), papers(s, d)), "density", "mean_sim", "min_sim")
 
 
 def publication_rank(s, d):
@@ -439,7 +449,8 @@ def conflicts(s, d):
 
 def resolutions_stale(s, d):
     now = screening.current(screenings(s, d))
-    ruled = screening.conflicts(now).where("paper_id % 7 = 0").withColumn("resolved_at", F.lit("2023-02-01 00:00:00").cast("timestamp_ntz"))
+    first = now.groupBy("collection_id", "paper_id").agg((F.min("decided_at") + F.expr("INTERVAL 60 DAYS")).alias("resolved_at"))
+    ruled = screening.conflicts(now).join(first, ["collection_id", "paper_id"])
     return screening.stale_resolutions(ruled, now)
 
 
@@ -470,17 +481,26 @@ def export_bibtex(s, d):
 
 # evaluation
 def recall_at_k(s, d):
-    """The measure on a known list: the exact order less every fifth id, for one query. ``ivf_recall`` measures the cells."""
-    p, q = papers(s, d), query_vector(s, d)
-    w = lambda df: search.ranked(df, 20).join(df, "id").select(F.lit(0).alias("query_id"), "id", "rank", "score")
-    return evaluation.recall_at_k(w(search.vector_topk(p, q, 20)), w(search.vector_topk(p, q, 40).where("id % 5 <> 0").limit(20)), 10)
+    """What an order by the first 128 entries keeps of the exact order, for one query. ``ivf_recall`` measures the cells."""
+    near, rough = _rough_lists(s, d)
+    whole = search.vector_topk(papers(s, d), query_vector(s, d), 20).select("id", "score")
+    of = lambda df: search.ranked(df, 20).select("id", "rank")
+    exact = of(near).join(whole, "id").select(F.lit(0).alias("query_id"), "id", "rank", "score")
+    found = of(rough).join(whole, "id", "left").select(F.lit(0).alias("query_id"), "id", "rank", F.coalesce("score", F.lit(-1.0)).alias("score"))
+    return evaluation.recall_at_k(exact, found, 10)
+
+
+def _rough_lists(s, d):
+    """(exact, rough): the 20 nearest rows by all entries, and by the first 128."""
+    p, q = search.sound_vectors(papers(s, d), DIM), query_vector(s, d)
+    short = p.withColumn("embedding", F.slice("embedding", 1, 128))
+    return search.vector_topk(p, q, 20), search.vector_topk(short, q[:128], 20)
 
 
 def recall_by_group(s, d):
-    p, q = papers(s, d), query_vector(s, d)
-    near = search.vector_topk(p, q, 40)
+    near, rough = _rough_lists(s, d)
     of = lambda df: search.ranked(df, 20).select(F.lit(0).alias("query_id"), "id", "rank")
-    found = evaluation.recall_by_group(of(near), of(near.where("id % 5 <> 0")), p.select("id", (F.col("year") >= 2015).alias("grp")), 20)
+    found = evaluation.recall_by_group(of(near), of(rough), papers(s, d).select("id", (F.col("year") >= 2015).alias("grp")), 20)
     return rounded(found, "recall")
 
 
@@ -555,7 +575,7 @@ def p5_found(s, d):
 NAMES = [
     *["year_filter", "keyword_match", "keyword_total", "tokenize", "search_keyword_weighted", "search_bm25", "search_cover_density"],
     *["vector_topk", "vector_topk_filtered", "vector_total", "vector_batch_topk", "vector_ivf", "hybrid_rrf", "hybrid_sources", "mode_overlap"],
-    *["record_upsert", "paper_owner", "paper_link", "paper_refresh", "ingest_derived", "extract_venue", "extract_authors", "ingest_outcomes", "junk_types", "deinvert_abstract"],
+    *["record_upsert", "paper_owner", "paper_link", "paper_refresh", "paper_refresh_all", "ingest_derived", "extract_venue", "extract_authors", "ingest_outcomes", "junk_types", "deinvert_abstract"],
     *["split_budget", "year_slices", "nested_departments", "normalize_doi", "normalize_title", "pairs_doi_exact", "pairs_doi_transform"],
     *["pairs_id_exact", "pairs_abstract_hash", "pairs_abstract_title", "pairs_title_exact", "surname_blocks", "pairs_title_trgm", "preprints"],
     *["pairs_preprint_trgm", "trigram_similarity", "enum_siblings", "part_siblings", "pairs_attributed", "trgm_sweep", "boilerplate_seed"],

@@ -1,9 +1,11 @@
-"""DuckDB SQL for the named queries, written from their definitions and not from the Spark code."""
+"""DuckDB SQL for the named queries, written from the definitions in the survey and not from the Spark code.
+
+``merge_roundtrip`` is compared with a constant: it proves that undoing merges leaves no difference, nothing more.
+"""
 
 from __future__ import annotations
 
 STOPS = "'a','an','and','are','as','at','be','by','for','from','in','is','of','on','or','that','the','to','was','were','with'"
-STAMP = "TIMESTAMP '2023-02-01 00:00:00'"
 
 
 def words(column: str) -> str:
@@ -12,8 +14,8 @@ def words(column: str) -> str:
 
 def doi(column: str) -> str:
     return (
-        f"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({column})), '^https://doi.org/', ''), "
-        "'^http://doi.org/', ''), '^https://dx.doi.org/', ''), '^doi:', ''), '')"
+        f"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({column}, '^\\s+|\\s+$', '', 'g')), '^https://doi.org/', ''), "
+        "'^http://doi.org/', ''), '^doi.org/', ''), '^doi:', ''), '')"
     )
 
 
@@ -66,10 +68,19 @@ SURNAMES = (
     "surnames AS (SELECT DISTINCT id, lower(list_extract(string_split(author, ' '), -1)) AS surname FROM (SELECT id, unnest(authors) AS author FROM papers) "
     "WHERE length(list_extract(string_split(author, ' '), -1)) > 0)"
 )
-BLOCKED = "rows AS (SELECT p.id, surname, year, title_norm FROM papers p JOIN surnames s ON s.id = p.id WHERE year IS NOT NULL AND title_norm IS NOT NULL)"
+BLOCKED = "rows AS (SELECT p.id, surname, year, title_norm FROM papers p JOIN surnames s ON s.id = p.id WHERE year IS NOT NULL AND length(title_norm) >= 20 AND length(surname) >= 3)"
+#: Every work inside a raw text: text in text, result pages and lists are opened.
+WORKS = """
+    raws AS (SELECT *, CASE WHEN json_valid(raw) THEN raw::JSON END AS j0 FROM source_records),
+    inner_json AS (SELECT * EXCLUDE (j0), CASE WHEN json_type(j0) = 'VARCHAR' THEN CASE WHEN json_valid(j0->>'$') THEN (j0->>'$')::JSON END ELSE j0 END AS j FROM raws),
+    every AS (SELECT * EXCLUDE (j), unnest(CASE WHEN json_type(j, '$.results') = 'ARRAY' THEN json_extract(j, '$.results[*]') WHEN json_type(j, '$.results') <> 'NULL' THEN [json_extract(j, '$.results')]
+                     WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS w FROM inner_json WHERE j IS NOT NULL),
+    works AS (SELECT * FROM every WHERE json_type(w) <> 'NULL')"""
+MARKED = WORKS + """,
+    marks AS (SELECT paper_id FROM source_records WHERE source = 'arxiv' AND paper_id IS NOT NULL UNION SELECT paper_id FROM works WHERE w->>'$.type' = 'preprint' AND paper_id IS NOT NULL)"""
 PREPRINT = (
     "(arxiv_id IS NOT NULL OR coalesce(contains(doi, '/preprints.'), false) OR "
-    "coalesce(regexp_matches(venue, '(?i)arxiv|biorxiv|medrxiv|preprint|research square|ssrn'), false))"
+    "coalesce(regexp_matches(venue, '(?i)arxiv|biorxiv|medrxiv|preprint|research square|ssrn'), false) OR id IN (SELECT paper_id FROM marks))"
 )
 TITLE_TRGM = f"""
     met AS (SELECT DISTINCT a, b, t, u FROM (SELECT x.id AS a, y.id AS b, x.title_norm AS t, y.title_norm AS u FROM rows x JOIN rows y USING (surname, year)
@@ -77,6 +88,7 @@ TITLE_TRGM = f"""
     title_trgm AS (SELECT a, b, t, u, {alike('g', 'h')} AS sim FROM (SELECT *, {grams('t')} AS g, {grams('u')} AS h FROM met) WHERE {alike('g', 'h')} >= 0.85)"""
 VECTOR = "vec AS (SELECT id, year, embedding::DOUBLE[] AS e FROM papers WHERE len(embedding) = 384 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0)"
 NEAREST = VECTOR + ", q AS (SELECT e AS qe FROM vec ORDER BY id LIMIT 1), near AS (SELECT id, year, list_cosine_similarity(e, qe) AS score FROM vec, q)"
+ROUGH = NEAREST + ", rough AS (SELECT id, list_cosine_similarity(e[1:128], qe[1:128]) AS score FROM vec, q WHERE list_sum(list_transform(e[1:128], lambda x: abs(x))) > 0)"
 BM25 = f"""
     w AS (SELECT id, year, list_concat({words('title')}, {words('abstract')}) AS ws FROM papers),
     st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS mean, count(*) FILTER (list_contains(ws, 'citation')) AS d0, count(*) FILTER (list_contains(ws, 'triage')) AS d1 FROM w),
@@ -110,9 +122,8 @@ GROUPS = f"""
     grouped AS (SELECT root, strategy, sim, a, b, {RANKED} AS r FROM attributed JOIN members ON members.id = a),
     groups AS (SELECT root, (SELECT count(*) FROM members m WHERE m.root = g.root) AS size, arg_min(strategy, (r, a, b)) AS strategy, arg_min(sim, (r, a, b)) AS sim,
                       array_to_string(list_sort(list_distinct(list(strategy))), ',') AS strategies FROM grouped g GROUP BY root)"""
-RANKS = """
-    early AS (SELECT DISTINCT paper_id FROM source_records WHERE source = 'arxiv' AND paper_id IS NOT NULL),
-    ranks AS (SELECT id, CASE WHEN id IN (SELECT paper_id FROM early) OR coalesce(contains(doi, '/preprints.'), false) OR coalesce(regexp_matches(venue, '(?i)arxiv|preprint'), false) THEN 0
+RANKS = MARKED + """,
+    ranks AS (SELECT id, CASE WHEN id IN (SELECT paper_id FROM marks) OR coalesce(contains(doi, '/preprints.'), false) OR coalesce(regexp_matches(venue, '(?i)arxiv|biorxiv|medrxiv|preprint'), false) THEN 0
                               WHEN venue IS NULL THEN 1 ELSE 2 END AS rank FROM papers)"""
 CHOSEN = "chosen AS (SELECT root, arg_max(m.id, (rank, -m.id)) AS survivor FROM members m JOIN ranks USING (id) GROUP BY root)"
 CURRENT = """
@@ -121,7 +132,51 @@ CURRENT = """
     now AS (SELECT * FROM last WHERE decision IN ('include', 'exclude', 'maybe'))"""
 CREDIBLE = "citation_count < 900000 AND citation_count >= 0"
 
+DERIVED = f"""
+    {WORKS.strip()},
+    derived AS (SELECT id AS record_id, source, paper_id, {doi("w->>'$.doi'")} AS doi, nullif(trim(coalesce(w->>'$.display_name', w->>'$.title')), '') AS title, w->>'$.type' AS type FROM works)"""
+JUNK = "('paratext', 'editorial', 'erratum', 'supplementary-materials', 'peer-review', 'retraction')"
+
 SQL: dict[str, str] = {
+    "junk_types": f"""
+        WITH {DERIVED} SELECT source, type, count(*) AS n, count(*) FILTER (title IS NOT NULL AND coalesce(type, '') NOT IN {JUNK}) AS kept FROM derived GROUP BY source, type""",
+    "paper_link": f"""
+        WITH {DERIVED}, d AS (SELECT DISTINCT record_id, doi FROM derived WHERE title IS NOT NULL AND coalesce(type, '') NOT IN {JUNK}),
+        held AS (SELECT {doi('doi')} AS doi, min(id) AS held FROM papers WHERE doi IS NOT NULL GROUP BY 1), f AS (SELECT doi, min(record_id) AS f FROM d WHERE doi IS NOT NULL GROUP BY doi)
+        SELECT record_id, held AS paper_id, CASE WHEN held IS NULL THEN coalesce(f, record_id) END AS new_record, CASE WHEN held IS NOT NULL OR coalesce(f, record_id) <> record_id THEN 'linked' ELSE 'new' END AS outcome
+        FROM d LEFT JOIN held USING (doi) LEFT JOIN f USING (doi)""",
+    "ingest_outcomes": """
+        WITH m AS (SELECT coalesce(query_name, '(none)') AS query_name, row_number() OVER k AS pos, raw IS DISTINCT FROM lag(raw) OVER k AS other, NOT coalesce(json_valid(raw), false) AS bad,
+                          row_number() OVER (PARTITION BY coalesce(paper_id, -id) ORDER BY fetched_at, id) AS nth
+                   FROM source_records WINDOW k AS (PARTITION BY source, source_id ORDER BY fetched_at, id))
+        SELECT query_name, count(*) AS fetched, count(*) FILTER (pos = 1 AND nth = 1 AND NOT bad) AS new, count(*) FILTER (pos = 1 AND nth > 1 AND NOT bad) AS linked,
+               count(*) FILTER (pos > 1 AND NOT bad) AS refreshed, count(*) FILTER (pos > 1 AND NOT bad AND other) AS text_changed, count(*) FILTER (bad) AS skipped FROM m GROUP BY query_name""",
+    "extract_venue": f"""
+        WITH {WORKS.strip()},
+        p AS (SELECT id, w, list_concat([json_extract(w, '$.primary_location')], CASE WHEN json_type(w, '$.locations') = 'ARRAY' THEN json_extract(w, '$.locations[*]') ELSE [json_extract(w, '$.locations')] END) AS places FROM works WHERE source = 'openalex')
+        SELECT id, coalesce(list_filter(list_transform(places, lambda x: nullif(trim(x->>'$.source.display_name'), '')), lambda x: x IS NOT NULL)[1],
+                            list_filter(list_transform(places, lambda x: nullif(trim(x->>'$.raw_source_name'), '')), lambda x: x IS NOT NULL)[1]) AS venue FROM p""",
+    "extract_authors": f"""
+        WITH {WORKS.strip()}, p AS (SELECT id, CASE WHEN source = 'openalex' THEN '$.authorships' ELSE '$.authors' END AS k, source, w FROM works),
+        l AS (SELECT id, source, CASE WHEN json_type(json_extract(w, k)) = 'ARRAY' THEN json_extract(json_extract(w, k), '$[*]') WHEN json_extract(w, k) IS NOT NULL THEN [json_extract(w, k)] END AS many FROM p)
+        SELECT id, nullif(array_to_string(list_filter(list_transform(many, lambda x: nullif(trim(CASE WHEN source = 'openalex' THEN x->>'$.author.display_name' ELSE x->>'$' END), '')), lambda x: x IS NOT NULL), '|'), '') AS authors FROM l""",
+    "paper_refresh": f"""
+        WITH {WORKS.strip()}, o AS (SELECT paper_id, min(id) AS owner FROM source_records WHERE paper_id IS NOT NULL GROUP BY paper_id),
+        n AS (SELECT o.paper_id AS id, nullif(trim(coalesce(w->>'$.display_name', w->>'$.title')), '') AS title, coalesce(try_cast(w->>'$.cited_by_count' AS INT), 0) AS citation_count FROM o JOIN works ON works.id = o.owner AND works.paper_id = o.paper_id)
+        SELECT p.id, n.title, {title('n.title')} AS title_norm, n.citation_count FROM n JOIN papers p USING (id)""",
+    "unwind_candidates": f"""
+        WITH RECURSIVE {{MEMBERS}}, {{ATTRIBUTED}}, {{GROUPS}}, {{RANKS}}, {{CHOSEN}}
+        SELECT survivor AS kept_paper_id FROM groups JOIN chosen USING (root)
+        WHERE size <= CASE WHEN strategy = 'title_exact' THEN 2 ELSE 8 END AND (SELECT count(*) FROM members m JOIN papers p ON p.id = m.id WHERE m.root = groups.root) > 3""".format(MEMBERS=MEMBERS, ATTRIBUTED=ATTRIBUTED, GROUPS=GROUPS, RANKS=RANKS, CHOSEN=CHOSEN),
+    "recall_at_k": f"""
+        WITH {ROUGH}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near), f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM rough)
+        SELECT 0 AS query_id, (SELECT count(*) FROM f JOIN r USING (id) WHERE f.rank <= 10 AND r.rank <= 10) / 10.0::DOUBLE AS recall""",
+    "fusion_convergence": f"""
+        WITH {FUSED}, depths AS (SELECT unnest([20, 100, 200]) AS depth),
+        s AS (SELECT depth, id, coalesce(CASE WHEN keyword_rank <= depth THEN 1.0::DOUBLE / (60 + keyword_rank) END, 0) + coalesce(CASE WHEN vector_rank <= depth THEN 1.0::DOUBLE / (60 + vector_rank) END, 0) AS score FROM fused, depths WHERE keyword_rank <= depth OR vector_rank <= depth),
+        t AS (SELECT depth, id FROM s QUALIFY row_number() OVER (PARTITION BY depth ORDER BY s.score DESC, id) <= 20), u AS (SELECT id FROM t WHERE depth = 200)
+        SELECT depth, count(*) FILTER (id IN (SELECT id FROM u)) / (SELECT count(*) FROM u)::DOUBLE AS overlap,
+               (count(*) = (SELECT count(*) FROM u) AND count(*) FILTER (id IN (SELECT id FROM u)) = count(*))::INT::DOUBLE AS identical FROM t GROUP BY depth""",
     "year_filter": "SELECT id, year FROM papers WHERE year BETWEEN 2010 AND 2020",
     "keyword_match": f"""
         WITH w AS (SELECT id, ' ' || array_to_string({words('title')}, ' ') || ' ' AS t, ' ' || array_to_string({words('abstract')}, ' ') || ' ' AS a FROM papers)
@@ -176,7 +231,8 @@ SQL: dict[str, str] = {
     "pairs_abstract_hash": "WITH b AS (SELECT abstract AS x FROM papers WHERE abstract IS NOT NULL GROUP BY abstract HAVING length(abstract) < 50 OR (length(abstract) < 100 AND count(*) >= 5)) "
     + star("SELECT id, abstract FROM papers WHERE abstract NOT IN (SELECT x FROM b)", "abstract"),
     "pairs_abstract_title": f"""
-        WITH p AS (SELECT id, abstract AS k, title_norm AS t FROM papers WHERE abstract IS NOT NULL AND title_norm IS NOT NULL),
+        WITH b AS (SELECT abstract AS x FROM papers WHERE abstract IS NOT NULL GROUP BY abstract HAVING length(abstract) < 50 OR (length(abstract) < 100 AND count(*) >= 5)),
+        p AS (SELECT id, abstract AS k, title_norm AS t FROM papers WHERE abstract NOT IN (SELECT x FROM b) AND title_norm IS NOT NULL),
         low AS (SELECT k, t, min(id) AS id, {grams('any_value(t)')} AS g FROM p GROUP BY k, t)
         {star('SELECT * FROM p', 'k', 't')}
         UNION ALL
@@ -185,11 +241,11 @@ SQL: dict[str, str] = {
     "pairs_title_exact": star("SELECT id, title_norm, year FROM papers WHERE length(title_norm) >= 20", "title_norm", "year"),
     "surname_blocks": f"WITH {SURNAMES} SELECT id, surname FROM surnames",
     "pairs_title_trgm": f"WITH {SURNAMES}, {BLOCKED}, {TITLE_TRGM} SELECT a, b, round(sim, 6) AS sim FROM title_trgm",
-    "preprints": f"SELECT id FROM papers WHERE {PREPRINT}",
+    "preprints": f"WITH {MARKED} SELECT id FROM papers WHERE {PREPRINT}",
     "pairs_preprint_trgm": f"""
-        WITH {SURNAMES}, {BLOCKED}, early AS (SELECT rows.* FROM rows JOIN papers USING (id) WHERE {PREPRINT}),
+        WITH {SURNAMES}, {BLOCKED}, {MARKED}, early AS (SELECT rows.* FROM rows JOIN papers USING (id) WHERE {PREPRINT}),
         met AS (SELECT DISTINCT a, b, t, u FROM (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CASE WHEN x.id < y.id THEN x.title_norm ELSE y.title_norm END AS t,
-                CASE WHEN x.id < y.id THEN y.title_norm ELSE x.title_norm END AS u FROM early x JOIN rows y ON x.surname = y.surname AND abs(x.year - y.year) <= 1 AND x.id <> y.id) WHERE {BAND})
+                CASE WHEN x.id < y.id THEN y.title_norm ELSE x.title_norm END AS u FROM early x JOIN rows y ON x.surname = y.surname AND abs(x.year - y.year) = 1 AND x.id <> y.id) WHERE {BAND})
         SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, {alike('g', 'h')} AS sim FROM (SELECT *, {grams('t')} AS g, {grams('u')} AS h FROM met)) WHERE sim >= 0.85""",
     "trigram_similarity": f"""
         WITH p AS (SELECT DISTINCT a, b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL)
@@ -222,8 +278,11 @@ SQL: dict[str, str] = {
     "group_sizes": f"WITH RECURSIVE {MEMBERS} SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM members GROUP BY root) GROUP BY size",
     "chain_report": f"""
         WITH RECURSIVE {MEMBERS}, {ATTRIBUTED}, s AS (SELECT root, count(*) AS size FROM members GROUP BY root HAVING count(*) >= 4),
-        e AS (SELECT root, count(*) AS edges, avg(sim) AS mean_sim FROM attributed JOIN members ON members.id = a GROUP BY root)
-        SELECT root, size, edges, round(mean_sim, 6) AS mean_sim, round(edges / (size * (size - 1) / 2.0), 6)::DOUBLE AS density, (mean_sim < 0.92 OR edges / (size * (size - 1) / 2.0) < 0.5) AS chain FROM s JOIN e USING (root)""",
+        e AS (SELECT root, count(*) AS edges FROM attributed JOIN members ON members.id = a GROUP BY root),
+        t AS (SELECT root, m.id, {grams('title_norm')} AS g FROM members m JOIN s USING (root) JOIN papers p ON p.id = m.id WHERE title_norm IS NOT NULL),
+        v AS (SELECT x.root, {alike('x.g', 'y.g')} AS sim FROM t x JOIN t y ON x.root = y.root AND x.id < y.id),
+        l AS (SELECT root, round(avg(sim), 6) AS mean_sim, round(min(sim), 6) AS min_sim FROM v GROUP BY root)
+        SELECT root, size, edges, round(edges / (size * (size - 1) / 2.0), 6)::DOUBLE AS density, mean_sim, min_sim FROM s JOIN e USING (root) LEFT JOIN l USING (root)""",
     "publication_rank": f"WITH {RANKS.strip()} SELECT id, rank FROM ranks",
     "survivor": f"WITH RECURSIVE {MEMBERS}, {RANKS}, {CHOSEN} SELECT root, survivor FROM chosen",
     "merged_fields": f"""
@@ -283,25 +342,25 @@ SQL: dict[str, str] = {
     "collection_papers": f"""
         WITH {CURRENT.strip()} SELECT collection_id, paper_id, user_id, decision, title, year FROM now JOIN papers ON papers.id = paper_id WHERE decision = 'include'""",
     "recall_by_group": f"""
-        WITH {NEAREST}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near),
-        f AS (SELECT id FROM r WHERE rank <= 40 AND id % 5 <> 0 ORDER BY rank LIMIT 20)
+        WITH {ROUGH}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near),
+        f AS (SELECT id FROM rough ORDER BY score DESC, id LIMIT 20)
         SELECT (year >= 2015) AS grp, count(*) AS wanted, count(*) FILTER (id IN (SELECT id FROM f)) AS hits, round(count(*) FILTER (id IN (SELECT id FROM f)) / count(*)::DOUBLE, 6) AS recall
         FROM r JOIN papers USING (id) WHERE rank <= 20 GROUP BY 1""",
     "conflicts": f"""
         WITH {CURRENT.strip()} SELECT collection_id, paper_id, count(*) AS raters, count(DISTINCT decision) AS decisions, array_to_string(list_sort(list_distinct(list(decision))), ',') AS said
         FROM now GROUP BY collection_id, paper_id HAVING count(DISTINCT decision) > 1""",
     "resolutions_stale": f"""
-        WITH {CURRENT.strip()} SELECT collection_id, paper_id, coalesce(max(decided_at) > {STAMP}, false) AS stale FROM now WHERE paper_id % 7 = 0
+        WITH {CURRENT.strip()} SELECT collection_id, paper_id, coalesce(max(decided_at) > min(decided_at) + INTERVAL 60 DAY, false) AS stale FROM now
         GROUP BY collection_id, paper_id HAVING count(DISTINCT decision) > 1""",
     "member_progress": f"""
         WITH {CURRENT.strip()}, m AS (SELECT DISTINCT collection_id, user_id FROM screenings)
         SELECT m.collection_id, m.user_id, count(now.decision) AS decided FROM m LEFT JOIN now ON now.collection_id = m.collection_id AND now.user_id = m.user_id GROUP BY ALL""",
     "cohen_kappa": f"""
-        WITH {CURRENT.strip()}, p AS (SELECT x.user_id AS user_a, y.user_id AS user_b, x.decision AS da, y.decision AS db FROM now x JOIN now y USING (collection_id, paper_id) WHERE x.user_id < y.user_id),
-        c AS (SELECT user_a, user_b, count(*)::DOUBLE AS n, count(*) FILTER (da = db) / count(*)::DOUBLE AS po,
+        WITH {CURRENT.strip()}, p AS (SELECT x.collection_id, x.user_id AS user_a, y.user_id AS user_b, x.decision AS da, y.decision AS db FROM now x JOIN now y USING (collection_id, paper_id) WHERE x.user_id < y.user_id),
+        c AS (SELECT collection_id, user_a, user_b, count(*)::DOUBLE AS n, count(*) FILTER (da = db) / count(*)::DOUBLE AS po,
               (count(*) FILTER (da = 'include') * count(*) FILTER (db = 'include') + count(*) FILTER (da = 'exclude') * count(*) FILTER (db = 'exclude')
-               + count(*) FILTER (da = 'maybe') * count(*) FILTER (db = 'maybe')) / (count(*) * count(*))::DOUBLE AS pe FROM p GROUP BY user_a, user_b)
-        SELECT user_a, user_b, n::BIGINT AS n, round(po, 4) AS po, round(pe, 4) AS pe, CASE WHEN n >= 30 AND abs(1 - pe) >= 1e-12 THEN round((po - pe) / (1 - pe), 4) END AS kappa FROM c""",
+               + count(*) FILTER (da = 'maybe') * count(*) FILTER (db = 'maybe')) / (count(*) * count(*))::DOUBLE AS pe FROM p GROUP BY collection_id, user_a, user_b)
+        SELECT collection_id, user_a, user_b, n::BIGINT AS n, round(po, 4) AS po, round(pe, 4) AS pe, CASE WHEN n >= 30 AND abs(1 - pe) >= 1e-12 THEN round((po - pe) / (1 - pe), 4) END AS kappa FROM c""",
     "krippendorff_alpha": f"""
         WITH {CURRENT.strip()}, v AS (SELECT collection_id, paper_id, decision, count(*)::DOUBLE AS c FROM now GROUP BY ALL),
         i AS (SELECT collection_id, paper_id, sum(c) AS m, sum(c) - sum(c * (c - 1)) / nullif(sum(c) - 1, 0) AS apart FROM v GROUP BY ALL HAVING sum(c) > 1),

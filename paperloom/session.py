@@ -36,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = Path(tempfile.mkdtemp(prefix="paperloom-cp-")).as_uri()
     sc.setCheckpointDir(named)
     return named

@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from paperloom.functions.records import works
 from paperloom.functions.text import normalize_doi, normalize_title
 
 #: Record types that never become papers.
-JUNK_TYPES = ("paratext", "peer-review", "supplementary-materials", "grant", "libguides", "component")
+JUNK_TYPES = ("paratext", "editorial", "erratum", "supplementary-materials", "peer-review", "retraction")
 
 ATOM_ENTRY = "id string, title string, summary string, published string, doi string, journal_ref string, author array<struct<name:string>>"
 PUBMED_ARTICLE = "pmid string, title string, abstract array<struct<_VALUE:string,_Label:string>>, year string, journal string, doi string, author array<struct<ForeName:string,LastName:string,CollectiveName:string>>, type array<string>"
 
 
-def unwrapped(raw: Column) -> Column:
-    """The record inside a raw text as a VARIANT: text in text and result pages are opened."""
-    v = F.try_parse_json(raw)
-    v = F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
-    return F.coalesce(F.try_variant_get(v, "$.results[0]", "variant"), v)
+def opened(records: DataFrame) -> DataFrame:
+    """One row per work of every readable record, as a VARIANT ``v``: text in text, result pages and lists are opened."""
+    return records.withColumn("v", F.explode(works(F.col("raw")))).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -54,8 +53,8 @@ def extract_venue() -> Column:
 
 
 def derive_papers(records: DataFrame) -> DataFrame:
-    """One derived paper per readable record: the fields of its own format, under common names."""
-    v = records.withColumn("v", unwrapped(F.col("raw"))).where(F.col("v").isNotNull())
+    """One derived paper per work of a readable record: the fields of its own format, under common names."""
+    v = opened(records)
     openalex, arxiv = F.col("source") == "openalex", F.col("source") == "arxiv"
     title = _blank(F.coalesce(_get("$.display_name"), _get("$.title")))
     year = F.coalesce(_get("$.publication_year", "int"), _get("$.year", "int"), F.try_to_number(F.substring(_get("$.published"), 1, 4), F.lit("9999")).cast("int"))
@@ -120,10 +119,20 @@ def latest_records(records: DataFrame) -> DataFrame:
 
 
 def create_or_link(derived: DataFrame, papers: DataFrame) -> DataFrame:
-    """(record_id, paper_id, outcome): linked to the paper of an equal DOI, else new."""
+    """(record_id, paper_id, new_record, outcome): linked to the paper of an equal DOI, else to the first new record of it, else new.
+
+    ``new_record`` is the record that brings in a paper which is not there yet; of several new records of one DOI it is the smallest.
+    """
     held = papers.select(normalize_doi(F.col("doi")).alias("doi"), "id").where("doi is not null").groupBy("doi").agg(F.min("id").alias("held"))
-    met = derived.select("record_id", "doi").join(held, "doi", "left")
-    return met.select("record_id", F.col("held").alias("paper_id"), F.when(F.col("held").isNotNull(), "linked").otherwise("new").alias("outcome"))
+    first = derived.where("doi is not null").groupBy("doi").agg(F.min("record_id").alias("first"))
+    met = derived.select("record_id", "doi").join(held, "doi", "left").join(first, "doi", "left")
+    new = F.when(F.col("held").isNull(), F.coalesce("first", "record_id"))
+    linked = F.col("held").isNotNull() | (F.col("record_id") != F.coalesce("first", "record_id"))
+    return met.select("record_id", F.col("held").alias("paper_id"), new.alias("new_record"), F.when(linked, "linked").otherwise("new").alias("outcome")).distinct()
+
+
+#: Fields of a paper that its owner's record rewrites.
+MUTABLE = ("title", "title_norm", "abstract", "year", "venue", "citation_count", "is_retracted", "authors")
 
 
 def owners(records: DataFrame) -> DataFrame:
@@ -132,22 +141,25 @@ def owners(records: DataFrame) -> DataFrame:
 
 
 def refresh(papers: DataFrame, derived: DataFrame, owner: DataFrame) -> DataFrame:
-    """Papers with what their owner's record says now; a changed text drops the embedding."""
+    """Papers with what their owner's record says now, in every mutable field; a changed text drops the embedding."""
     own = derived.join(owner, (derived["paper_id"] == owner["paper_id"]) & (derived["record_id"] == owner["owner"])).select(
-        derived["paper_id"].alias("id"), F.col("title").alias("new_title"), F.col("abstract").alias("new_abstract"), F.col("citation_count").alias("new_count")
+        derived["paper_id"].alias("id"), *[F.col(c).alias(f"new_{c}") for c in MUTABLE]
     )
     both = papers.join(own, "id")
     moved = ~F.col("title").eqNullSafe(F.col("new_title")) | ~F.col("abstract").eqNullSafe(F.col("new_abstract"))
-    return both.select("id", F.col("new_title").alias("title"), F.col("new_abstract").alias("abstract"), F.col("new_count").alias("citation_count"), moved.alias("text_changed"), F.when(~moved, F.col("embedding")).alias("embedding"))
+    return both.select("id", *[F.col(f"new_{c}").alias(c) for c in MUTABLE], moved.alias("text_changed"), F.when(~moved, F.col("embedding")).alias("embedding"))
 
 
 def outcomes(records: DataFrame) -> DataFrame:
-    """Per query the records fetched first, fetched again and unreadable."""
+    """Per query the records fetched, new, linked to a paper that a record fetched earlier holds, fetched again (with another text or not) and unreadable."""
     w = Window.partitionBy("source", "source_id").orderBy("fetched_at", "id")
-    marked = records.withColumn("at", F.row_number().over(w))
+    of_paper = Window.partitionBy(F.coalesce(F.col("paper_id"), -F.col("id"))).orderBy("fetched_at", "id")  # one without a paper stands alone
+    marked = records.select("*", F.row_number().over(w).alias("at"), F.lag("raw").over(w).alias("before"), F.row_number().over(of_paper).alias("nth"))
     bad = F.try_parse_json("raw").isNull()
+    first = F.col("at") == 1
     return marked.groupBy(F.coalesce("query_name", F.lit("(none)")).alias("query_name")).agg(
-        F.count(F.lit(1)).alias("fetched"), F.count_if((F.col("at") == 1) & ~bad).alias("new"), F.count_if((F.col("at") > 1) & ~bad).alias("refreshed"), F.count_if(bad).alias("skipped")
+        F.count(F.lit(1)).alias("fetched"), F.count_if(first & (F.col("nth") == 1) & ~bad).alias("new"), F.count_if(first & (F.col("nth") > 1) & ~bad).alias("linked"),
+        F.count_if(~first & ~bad).alias("refreshed"), F.count_if(~first & ~bad & ~F.col("raw").eqNullSafe(F.col("before"))).alias("text_changed"), F.count_if(bad).alias("skipped")
     )
 
 

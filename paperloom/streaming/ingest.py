@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paperloom.session import durable, release
 from paperloom.sources.records import latest_records
 
 
@@ -14,18 +15,25 @@ def record_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_records(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Fold each batch into a versioned table: latest row per record, first known query; a replayed batch changes nothing."""
+def upsert_records(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Fold each batch into a table in buckets of keys: latest row per record, first known query.
+
+    A batch reads and rewrites only the buckets it touches. Folding a row in again changes nothing, so a replayed
+    batch or a fresh checkpoint over an old table does no harm.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{table}/version={number - 1}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-        held = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        rows = batch
-        if held:
-            rows = spark.read.parquet(old).drop("fetches").unionByName(batch, allowMissingColumns=True)
-        latest_records(rows).write.mode("overwrite").parquet(f"{table}/version={number}")
+        bucket = F.pmod(F.xxhash64("source", "source_id"), F.lit(buckets)).cast("int")
+        new = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.parquet(table).where(F.col("bucket").isin(touched)).drop("fetches")
+            new = held.unionByName(new, allowMissingColumns=True)
+        merged = durable(latest_records(new).withColumn("bucket", bucket))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        release(merged)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -213,3 +213,68 @@ def test_batch_goes_on_in_blocks(spark, sf_dir):
     order = lambda df: sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
     assert order(search.vector_batch_topk(p, q, catalog.DIM, 5, most=3)) == order(search.vector_batch_topk(p, q, catalog.DIM, 5))
     assert order(search.ivf_batch_topk(p, q, catalog.DIM, 5, most=3)) == order(search.ivf_batch_topk(p, q, catalog.DIM, 5))
+
+
+def test_preprints_by_venue_and_record(spark):
+    p = papers(spark, paper(1, "a", venue="bioRxiv"), paper(2, "b", venue="MedRxiv"), paper(3, "c", venue="Ward Letters"), paper(4, "d"), paper(5, "e", venue="Ward Letters"))
+    records = spark.createDataFrame([("openalex", '{"results": [{"type": "article"}, {"type": "preprint"}]}', 5), ("pubmed", "{", 3), ("arxiv", None, None)], "source string, raw string, paper_id long")
+    assert {r.id for r in pairs.preprints(p, records).collect()} == {1, 2, 5}
+    assert {r.id: r.rank for r in groups.publication_rank(p, records).collect()} == {1: 0, 2: 0, 3: 2, 4: 1, 5: 0}
+
+
+def test_fuzzy_floors_and_years(spark):
+    t = "reading of ward notes by machines"
+    p = papers(spark, paper(1, t, authors=["Li Xu"]), paper(2, t + "s", authors=["Bo Xu"]), paper(3, "short ward notes x"), paper(4, "short ward notes y"), paper(5, t, arxiv_id="1"), paper(6, t + "s"), paper(7, t, year=2021), paper(8, t, year=2022))
+    assert pairs.title_trgm(p.where("id < 5")).count() == 0
+    assert {(r.a, r.b) for r in pairs.preprint_trgm(p.where("id >= 5")).collect()} == {(5, 7)}
+
+
+def test_boilerplate_abstracts_make_no_pairs(spark):
+    p = papers(spark, *[paper(i, "a long title about screening", abstract="No text.") for i in (1, 2)], *[paper(i, "a long title about screening", abstract="w" * 60) for i in (3, 4)])
+    assert {(r.a, r.b) for r in pairs.abstract_title(p, pairs.boilerplate_seed(p)).collect()} == {(3, 4)}
+
+
+def test_hot_blocks_are_split_and_lose_nothing(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(90)]
+    x, y = spark.createDataFrame(rows, "x long, k string"), spark.createDataFrame(rows, "y long, k string")
+    got = [(r.x, r.y) for r in pairs.block_join(x, y, ["k"], "x", "y", hot=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, k in rows for b, m in rows if k == m}
+
+
+def test_chain_report_takes_all_pairs(spark):
+    p = papers(spark, *[paper(i, t) for i, t in enumerate(["abc", "abc", "abd", "zzz"])])
+    m = spark.createDataFrame([(i, 0) for i in range(4)], "id long, root long")
+    e = spark.createDataFrame([(0, 1, 1.0, "doi_exact"), (1, 2, 0.9, "title_trgm"), (2, 3, 0.9, "title_trgm")], "a long, b long, sim double, strategy string")
+    r = groups.chain_report(e, m, p).first()
+    assert (r.size, r.edges, r.density, r.min_sim) == (4, 3, 0.5, 0.0) and r.mean_sim == pytest.approx((1 + 2 * 2 / 6) / 6)
+
+
+def test_kappa_is_by_collection(spark):
+    rows = [(c, p, u, "include" if (p + c * u) % 2 else "exclude", dt.datetime(2024, 1, 1)) for c in (1, 2) for p in range(8) for u in (1, 2)]
+    now = spark.createDataFrame(rows, "collection_id long, paper_id long, user_id long, decision string, decided_at timestamp")
+    assert {r.collection_id: r.kappa for r in screening.cohen_kappa(now, least=1).collect()} == {1: -1.0, 2: 1.0}
+
+
+def test_two_new_records_of_one_doi(spark):
+    d = spark.createDataFrame([(1, "10.1/a"), (2, "10.1/a"), (3, None), (4, "10.1/b")], "record_id long, doi string")
+    got = {r.record_id: (r.paper_id, r.new_record, r.outcome) for r in rec.create_or_link(d, papers(spark, paper(9, "t", doi="DOI:10.1/B"))).collect()}
+    assert got == {1: (None, 1, "new"), 2: (None, 1, "linked"), 3: (None, 3, "new"), 4: (9, None, "linked")}
+
+
+def test_every_work_of_a_page_is_read(spark):
+    raws = ['{"results": [{"title": "One"}, {"title": "Two", "type": "erratum"}]}', '[{"title": "Three"}, null]', "null", "nope"]
+    r = spark.createDataFrame([(i, "openalex", f"s{i}", x, dt.datetime(2024, 1, 1), None, None) for i, x in enumerate(raws)], "id long, source string, source_id string, raw string, fetched_at timestamp, paper_id long, query_name string")
+    derived = rec.derive_papers(r)
+    assert sorted(x.title for x in derived.collect()) == ["One", "Three", "Two"]
+    assert sorted(x.title for x in rec.papers_only(derived).collect()) == ["One", "Three"]
+
+
+@pytest.mark.parametrize("n,want", [(0, "a"), (25, "z"), (26, "aa"), (701, "zz"), (702, "aaa"), (18277, "zzz"), (18278, "aaaa"), (475254, "aaaaa")])
+def test_letters(spark, n, want):
+    assert spark.range(1).select(screening.letters(F.lit(n)).alias("s")).first().s == want
+
+
+def test_text_moved(spark):
+    p = papers(spark, paper(1, "a"), paper(2, "b", abstract="x"))
+    merged = spark.createDataFrame([(1, "a", None), (2, "b", None)], "survivor long, title string, abstract string")
+    assert [r.id for r in groups.text_moved(p, merged).collect()] == [2]
