@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.text import STOP_WORDS, cosine, tokens
+from paperloom.functions.text import STOP_WORDS, tokens
 from paperloom.session import durable
 
 TITLE_WEIGHT, ABSTRACT_WEIGHT = 1.0, 0.4
@@ -158,11 +158,26 @@ def sound_vectors(papers: DataFrame, dim: int) -> DataFrame:
     return papers.where((F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
 
 
+def nearest_in(rows: DataFrame, query: np.ndarray, k: int) -> DataFrame:
+    """(id, score) of the k nearest rows of (id, embedding) by cosine; each batch sends on its k best."""
+    q = (query / max(np.linalg.norm(query), 1e-300)).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            s = (m @ q) / np.sqrt(np.einsum("ij,ij->i", m, m))
+            top = np.lexsort((ids, -s))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(s[top])], names=["id", "score"])
+
+    return rows.select("id", "embedding").mapInArrow(run, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
+
+
 def vector_topk(papers: DataFrame, query: list[float], k: int = 20, low: int | None = None, high: int | None = None) -> DataFrame:
     """The exact k nearest by cosine; ties by id."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = sound_vectors(papers.where(year_between(low, high)), len(query))
-    return rows.select("id", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return nearest_in(sound_vectors(papers.where(year_between(low, high)), len(query)), np.array(query, np.float64), k)
 
 
 def vector_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, block: int = 2000, most: int = 50_000) -> DataFrame:
@@ -299,8 +314,7 @@ def ivf_topk(papers: DataFrame, query: list[float], k: int = 20, lists: int = 16
             break
         taken.append(c)
         held += sizes.get(c, 0)
-    qc = F.array(*[F.lit(float(v)) for v in query])
-    return placed.where(F.col("cell").isin(taken)).select("id", cosine(F.col("embedding"), qc).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return nearest_in(placed.where(F.col("cell").isin(taken)), np.array(query, np.float64), k)
 
 
 def ivf_batch_topk(papers: DataFrame, queries: DataFrame, dim: int, k: int = 10, lists: int = 16, probes: int | None = None, fit_rows: int = 5000, most: int = 50_000) -> DataFrame:

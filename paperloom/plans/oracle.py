@@ -192,6 +192,7 @@ SQL: dict[str, str] = {
         SELECT id, round(1.0 * len(list_filter(t, lambda x: x IN ('citation', 'triage'))) + 0.4 * len(list_filter(a, lambda x: x IN ('citation', 'triage'))), 6)::DOUBLE AS score
         FROM m ORDER BY score DESC, id LIMIT 20""",
     "search_bm25": f"WITH {BM25} SELECT id, round(score, 6) AS score FROM kw WHERE year BETWEEN 2010 AND 2020 ORDER BY kw.score DESC, id LIMIT 20",
+    "index_bm25": f"WITH {BM25} SELECT id, round(score, 6) AS score FROM kw WHERE year BETWEEN 2010 AND 2020 ORDER BY kw.score DESC, id LIMIT 20",
     "vector_topk": f"WITH {NEAREST} SELECT id, round(score, 6) AS score FROM near ORDER BY near.score DESC, id LIMIT 20",
     "vector_topk_filtered": f"WITH {NEAREST} SELECT id, round(score, 6) AS score FROM near WHERE year BETWEEN 2010 AND 2020 ORDER BY near.score DESC, id LIMIT 20",
     "vector_total": f"WITH {VECTOR} SELECT count(*) AS total FROM vec",
