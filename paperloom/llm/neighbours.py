@@ -180,11 +180,10 @@ def nearest_neighbours(
         return spark.createDataFrame([], out_schema)
 
     def sample(n: int, seed: int) -> np.ndarray:
-        share = min(1.0, 1.3 * n / total)
-        picked = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(n)
+        share = min(1.0, (1.3 * n + 50) / total)
+        chosen = F.xxhash64("id", F.lit(seed))  # by hash, so that any partitioning gives the same sample in the same order
+        picked = base.where(F.pmod(chosen, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(chosen, "id").limit(n)
         t = picked.select("id", "vec").toArrow().combine_chunks()
-        if not t.num_rows:
-            t = base.limit(n).select("id", "vec").toArrow().combine_chunks()
         return t["id"].to_numpy(), _matrix(t["vec"].combine_chunks(), dim)
 
     _, fit = sample(fit_rows, 1)
@@ -275,12 +274,12 @@ def nearest_neighbours(
                         sb, qb = int(h[r]) % ns, int(h[r] // 7) % nq
                         for s in range(ns):
                             mine = i == 0 and s == sb
-                            cell.append((leaf << 24) | (s << 12) | qb)
+                            cell.append((leaf << 40) | (s << 20) | qb)
                             row.append(r), is_q.append(True), is_s.append(mine)
                         if i == 0 and nq > 1:
                             for q in range(nq):
                                 if q != qb:
-                                    cell.append((leaf << 24) | (sb << 12) | q)
+                                    cell.append((leaf << 40) | (sb << 20) | q)
                                     row.append(r), is_q.append(False), is_s.append(True)
                 row = np.array(row, np.int64)
                 raw = [v.tobytes() for v in m]
