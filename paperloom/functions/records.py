@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,15 +29,19 @@ def elements_at(v: Column, path: str) -> Column:
     )
 
 
-def works(raw: Column) -> Column:
-    """Every record inside a raw text, whatever its wrapping."""
-    first = F.try_parse_json(raw)
-    inner = F.when(is_string(first), F.try_parse_json(text_at(first))).otherwise(first)
-    listed = F.try_variant_get(inner, "$.results", "array<variant>")
-    lone_result = variant_at(inner, "$.results")
-    return F.coalesce(
-        listed,
-        F.when(lone_result.isNotNull() & ~F.is_variant_null(lone_result), F.array(lone_result)),
-        F.try_variant_get(inner, "$", "array<variant>"),
-        F.when(inner.isNotNull(), F.array(inner)),
+def with_works(records: DataFrame, raw: str, name: str) -> DataFrame:
+    """``records`` with an array of every record inside a raw text, whatever its wrapping; null where it is unreadable.
+
+    Each step is a column of its own, so that a text is parsed once and not once for each use.
+    """
+    kept = records.columns
+    parsed = records.withColumn("_first", F.try_parse_json(F.col(raw)))
+    inner = parsed.withColumn("_inner", F.when(is_string(F.col("_first")), F.try_parse_json(text_at(F.col("_first")))).otherwise(F.col("_first")))
+    lone = inner.withColumn("_results", variant_at(F.col("_inner"), "$.results"))
+    there = F.col("_results").isNotNull() & ~F.is_variant_null("_results")
+    out = F.coalesce(
+        F.when(there, F.coalesce(F.try_variant_get("_results", "$", "array<variant>"), F.array("_results"))),
+        F.try_variant_get("_inner", "$", "array<variant>"),
+        F.when(F.col("_inner").isNotNull(), F.array("_inner")),
     )
+    return lone.select(*[c for c in kept if c != name], out.alias(name))

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.records import elements_at, is_string, text_at, works
+from paperloom.functions.records import elements_at, is_string, text_at, with_works
 
 ROW = "array<struct<child:string,path:string,item:string>>"
 CHILDREN = ("author", "institution", "department", "location")
@@ -39,10 +39,11 @@ def _join(*positions: Column) -> Column:
 
 def _authors(work: Column) -> Column:
     named = F.transform(elements_at(work, "$.authorships"), lambda a, i: _row("author", _join(i), text_at(a, "$.author.display_name")))
-    plain = F.transform(
-        elements_at(work, "$.authors"), lambda a, i: _row("author", _join(i), F.when(is_string(a), text_at(a)))
-    )
-    return F.concat(named, plain)
+    return F.concat(named, _plain_authors(work))
+
+
+def _plain_authors(work: Column) -> Column:
+    return F.transform(elements_at(work, "$.authors"), lambda a, i: _row("author", _join(i), F.when(is_string(a), text_at(a))))
 
 
 def _institutions(work: Column) -> Column:
@@ -77,6 +78,21 @@ def _locations(work: Column) -> Column:
     return F.transform(elements_at(work, "$.locations"), lambda x, i: _row("location", _join(i), text_at(x, "$.id")))
 
 
+def _all(work: Column) -> Column:
+    """The rows of all four tables, with each list extracted once: authors, their institutions and those' departments in one walk."""
+
+    def of_institution(x: Column, i: Column, j: Column) -> Column:
+        below = F.transform(elements_at(x, "$.departments"), lambda d, k: _row("department", _join(i, j, k), text_at(d, "$.name")))
+        return F.concat(F.array(_row("institution", _join(i, j), text_at(x, "$.id"))), below)
+
+    def of_author(a: Column, i: Column) -> Column:
+        below = F.flatten(F.transform(elements_at(a, "$.institutions"), lambda x, j: of_institution(x, i, j)))
+        return F.concat(F.array(_row("author", _join(i), text_at(a, "$.author.display_name"))), below)
+
+    named = F.flatten(F.transform(elements_at(work, "$.authorships"), of_author))
+    return F.concat(named, _plain_authors(work), _locations(work))
+
+
 WALKS: dict[str, Callable[[Column], Column]] = {
     "author": _authors,
     "institution": _institutions,
@@ -86,7 +102,7 @@ WALKS: dict[str, Callable[[Column], Column]] = {
 
 
 def _emit(records: DataFrame, id_col: str, raw_col: str, rows: Callable[[Column], Column]) -> DataFrame:
-    parsed = records.select(F.col(id_col).alias("record_id"), works(F.col(raw_col)).alias("works"))
+    parsed = with_works(records.select(F.col(id_col).alias("record_id"), F.col(raw_col).alias("raw")), "raw", "works")
     arrays = parsed.select(
         "record_id",
         F.array_distinct(
@@ -101,7 +117,7 @@ def _emit(records: DataFrame, id_col: str, raw_col: str, rows: Callable[[Column]
 
 def flatten_records(records: DataFrame, id_col: str = "id", raw_col: str = "raw") -> DataFrame:
     """All child rows of every record: (record_id, child, path, item)."""
-    return _emit(records, id_col, raw_col, lambda w: F.concat(*[walk(w) for walk in WALKS.values()]))
+    return _emit(records, id_col, raw_col, _all)
 
 
 def child_table(records: DataFrame, child: str, id_col: str = "id", raw_col: str = "raw") -> DataFrame:

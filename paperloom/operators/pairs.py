@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.records import works
+from paperloom.functions.records import with_works
 from paperloom.functions.text import in_length_band, set_similarity, siblings, trigrams
 
 FLOOR, GATE, ABSTRACT_GATE = 0.85, 0.92, 0.80
@@ -103,7 +103,8 @@ def record_marks(records: DataFrame) -> DataFrame:
     """(id): the papers with a record of a preprint source or, where the raw text is at hand, of the type preprint, in any wrapping."""
     if "raw" not in records.columns:
         records = records.withColumn("raw", F.lit(None).cast("string"))
-    kind = F.exists(works(F.col("raw")), lambda w: F.coalesce(F.try_variant_get(w, "$.type", "string") == "preprint", F.lit(False)))
+    records = with_works(records.select("source", "paper_id", "raw"), "raw", "_works")
+    kind = F.exists("_works", lambda w: F.coalesce(F.try_variant_get(w, "$.type", "string") == "preprint", F.lit(False)))
     early = (F.col("source") == "arxiv") | F.coalesce(kind, F.lit(False))
     return records.where(F.col("paper_id").isNotNull() & early).select(F.col("paper_id").alias("id")).distinct()
 

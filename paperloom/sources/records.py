@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paperloom.functions.records import works
+from paperloom.functions.records import with_works
 from paperloom.functions.text import normalize_doi, normalize_title
 
 #: Record types that never become papers.
@@ -19,7 +19,8 @@ PUBMED_ARTICLE = "pmid string, title string, abstract array<struct<_VALUE:string
 
 def opened(records: DataFrame) -> DataFrame:
     """One row per work of every readable record, as a VARIANT ``v``: text in text, result pages and lists are opened."""
-    return records.withColumn("v", F.explode(works(F.col("raw")))).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    held = with_works(records, "raw", "_works")
+    return held.select(*records.columns, F.explode("_works").alias("v")).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
 
 
 def _get(path: str, kind: str = "string") -> Column:
