@@ -39,6 +39,19 @@ def tokens(text: Column, drop: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(*drop))
 
 
+#: Fixed value: what the encoder expects before a query, but not before a document.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def query_text(query: Column) -> Column:
+    return F.concat(F.lit(QUERY_PREFIX), query)
+
+
+def token_hash(token: Column) -> Column:
+    """The form in which a secret token is kept."""
+    return F.sha2(token, 256)
+
+
 def trigrams(text: Column) -> Column:
     """The set of 3-grams of a text's words, each padded by two spaces before and one after."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

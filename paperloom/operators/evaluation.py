@@ -105,3 +105,17 @@ def recall_by_group(exact: DataFrame, found: DataFrame, group: DataFrame, k: int
     got = found.where(F.col("rank") <= k).select("query_id", "id", F.lit(1).alias("hit"))
     by = want.join(got, ["query_id", "id"], "left").groupBy("grp").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
     return by.select("grp", "wanted", "hits", (F.col("hits") / F.col("wanted")).alias("recall"))
+
+
+def bootstrap_precision(labels: DataFrame, population: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """(low, high): a 95 % interval of the weighted precision, labels drawn again within their stratum by hashed Poisson weights.
+
+    ``labels`` are judged by people (stratum, merged, same), a bounded table; a stratum counts with its share of ``population``.
+    """
+    known = labels.where(F.col("same").isNotNull() & F.col("merged")).withColumn("row", F.xxhash64("stratum", "merged", "same", F.monotonically_increasing_id()))
+    many = known.select("stratum", "same", "row", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    u = F.pmod(F.xxhash64("row", "rep", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
+    by = many.groupBy("rep", "stratum").agg(F.sum(weight).alias("n"), F.sum(F.when(F.col("same"), weight).otherwise(0)).alias("hits")).where("n > 0")
+    share = by.join(population, "stratum").groupBy("rep").agg((F.sum(F.col("hits") / F.col("n") * F.col("population")) / F.sum("population")).alias("p"))
+    return share.agg(F.expr("percentile(p, 0.025)").alias("low"), F.expr("percentile(p, 0.975)").alias("high"))

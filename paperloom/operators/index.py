@@ -26,8 +26,39 @@ MODES = ("keyword", "vector", "hybrid")
 MOST_K, MOST_DEPTH = 100, 1_000
 
 
+_OPENED: dict[tuple, dict] = {}
+
+
+def _opened(spark: SparkSession, path: str) -> dict:
+    """The tables of an index with their listed files, its figures and its centroids, looked up once for a session."""
+    key = (spark.sparkContext.applicationId, path)
+    return _OPENED.setdefault(key, {})
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    _OPENED.pop((spark.sparkContext.applicationId, path), None)
+
+
+def _postings(spark: SparkSession, path: str) -> tuple:
+    held = _opened(spark, path)
+    if "postings" not in held:
+        read = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}")
+        figures = read("n long, mean double, buckets int", "figures").first()
+        held["postings"] = (figures, read("term string, df long, bucket int", "terms"), read("term string, id long, year int, length int, title array<int>, abstract array<int>, bucket int", "postings"))
+    return held["postings"]
+
+
+def _cells(spark: SparkSession, path: str) -> tuple:
+    held = _opened(spark, path)
+    if "cells" not in held:
+        centres = spark.read.schema("cell int, centre array<float>, probes int").parquet(f"{path}/centres").orderBy("cell").collect()  # a row a cell
+        held["cells"] = (centres, spark.read.schema("id long, year int, embedding array<float>, cell int").parquet(f"{path}/cells"))
+    return held["cells"]
+
+
 def build_postings(papers: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Postings, document frequencies and corpus figures of ``papers`` under ``path``."""
+    _forget(papers.sparkSession, path)
     whole = analysed(papers).select("id", "year", "title_words", "abstract_words", (F.size("title_words") + F.size("abstract_words")).alias("length"))
     of = lambda c, field: F.transform(c, lambda w, i: F.struct(w.alias("term"), F.lit(field).alias("field"), i.alias("at")))
     words = whole.select("id", "year", "length", F.inline(F.concat(of(F.col("title_words"), 0), of(F.col("abstract_words"), 1))))
@@ -81,14 +112,12 @@ def _matches(query: KeywordQuery, at: dict[str, int]) -> Column:
 def search_postings(spark: SparkSession, path: str, text: str, k: int = 20, low: int | None = None, high: int | None = None) -> DataFrame:
     """(id, score): BM25 over the index, the same rows and scores as over the papers."""
     query = parse_query(text)
-    figures = spark.read.schema("n long, mean double, buckets int").parquet(f"{path}/figures").first()
+    figures, terms, postings = _postings(spark, path)
     if not query.groups or not figures["n"]:
         return spark.createDataFrame([], "id long, score double")
     every = list(dict.fromkeys([*query.terms, *[w for words in query.excluded for w in words]]))
     at = {t: i for i, t in enumerate(every)}
-    terms = spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms")
     df = {r["term"]: r["df"] for r in _of_terms(terms, every, figures["buckets"]).collect()}  # at most a row a term
-    postings = spark.read.schema("term string, id long, year int, length int, title array<int>, abstract array<int>, bucket int").parquet(f"{path}/postings")
     rows = _of_terms(postings, every, figures["buckets"]).where(year_between(low, high))
     held = [F.max(F.when(F.col("term") == t, F.struct("title", "abstract"))).alias(f"t{i}") for t, i in at.items()]
     found = rows.groupBy("id").agg(F.max("length").alias("length"), *held).where(_matches(query, at))
@@ -105,6 +134,7 @@ def search_postings(spark: SparkSession, path: str, text: str, k: int = 20, low:
 def build_cells(papers: DataFrame, path: str, dim: int, lists: int = 16, fit_rows: int = 5_000, k: int = 20) -> None:
     """The papers' sound vectors under their cells, and the centroids with the probes that ``fit_cells`` found to be needed at ``k``."""
     spark, rows = papers.sparkSession, sound_vectors(papers, dim)
+    _forget(spark, path)
     centre, probes = fit_cells(rows, dim, k, lists, fit_rows)
     if len(centre):
         placed = in_cells(rows, centre).join(rows.select("id", "year"), "id")
@@ -117,8 +147,8 @@ def build_cells(papers: DataFrame, path: str, dim: int, lists: int = 16, fit_row
 
 def search_cells(spark: SparkSession, path: str, query: list[float], k: int = 20, probes: int | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
     """(id, score): the nearest rows within the cells nearest to the query; with bounds, more cells are read until k rows pass or none is left."""
-    held = spark.read.schema("cell int, centre array<float>, probes int").parquet(f"{path}/centres").orderBy("cell").collect()  # a row a cell
-    rows = spark.read.schema("id long, year int, embedding array<float>, cell int").parquet(f"{path}/cells").where(year_between(low, high))
+    held, rows = _cells(spark, path)
+    rows = rows.where(year_between(low, high))
     q = np.array(query, np.float64)
     if not held:
         return nearest_in(rows, q, k)

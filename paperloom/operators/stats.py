@@ -95,9 +95,14 @@ def stratified_sample(papers: DataFrame, by: str, each: int, seed: str = "s") ->
 
 
 def fill_buckets(sizes: list[tuple[int, int, bool]], budget: int) -> list[int]:
-    """The buckets (id, size, required) that fit a budget: required ones first, then any that still fit."""
+    """The buckets (id, size, required) that fit a budget: required ones first, then any that still fit, in order of ids.
+
+    The sizes are one row per bucket; the fill skips what is too large, so it is no prefix sum.
+    """
     taken, used = [], 0
-    for i, size, _ in sorted(sizes, key=lambda x: (not x[2], x[0])):
+    for i, size, required in sorted(sizes, key=lambda x: (not x[2], x[0])):
+        if required and used + size > budget:
+            raise ValueError("the required buckets alone exceed the budget")
         if used + size <= budget:
             taken.append(i)
             used += size
@@ -111,3 +116,18 @@ def embed_backlog(papers: DataFrame, boilerplate: DataFrame) -> DataFrame:
     known = boilerplate.select(F.col("abstract_md5").alias("md5")).distinct().withColumn("boiler", F.lit(True))
     p = papers.where(F.col("embedding").isNull()).withColumn("md5", F.md5("abstract")).join(known, "md5", "left")
     return p.select("id", F.when(F.col("boiler"), F.col("title")).otherwise(document_text(F.col("title"), F.col("abstract"))).alias("text"))
+
+
+def proportional_subset(owned: DataFrame, papers: DataFrame, bucket: str, total: int) -> DataFrame:
+    """(bucket, id, rank): an equal share of ``total`` for each bucket, its most cited papers first (nulls last, ties by id)."""
+    share = owned.agg(F.greatest(F.lit(1), F.floor(F.lit(total) / F.count_distinct(bucket))).alias("share"))  # one row
+    w = Window.partitionBy(bucket).orderBy(F.col("citation_count").desc_nulls_last(), "id")
+    ranked = owned.join(papers.select("id", "citation_count"), "id").withColumn("rank", F.row_number().over(w))
+    return ranked.join(F.broadcast(share)).where(F.col("rank") <= F.col("share")).select(bucket, "id", "rank")
+
+
+def mean_and_error(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, n, mean, stdev, error): the sample mean with its standard error; null deviations below two values."""
+    sound = rows.where(F.col(value).isNotNull())
+    agg = sound.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp(value)).alias("stdev"))
+    return agg.select(by, "n", "mean", "stdev", (F.col("stdev") / F.sqrt("n")).alias("error"))

@@ -115,7 +115,7 @@ def index_path(s, d) -> str:
     key = (s.sparkContext.applicationId, d)
     if key not in _INDEXES:
         path = f"{ensure_checkpoint_dir(s).rstrip('/')}/index-{uuid.uuid4().hex}"
-        index.build_postings(papers(s, d), path)
+        index.build_postings(papers(s, d), path, buckets=32)
         index.build_cells(papers(s, d), path, DIM)
         _INDEXES[key] = path
     return _INDEXES[key]
@@ -481,6 +481,73 @@ def resolutions_stale(s, d):
     return screening.stale_resolutions(ruled, now)
 
 
+def _ruled(s, d):
+    """Every conflict with a ruling two months after its first decision, by its rater of the smallest id."""
+    now = screening.current(screenings(s, d))
+    first = now.groupBy("collection_id", "paper_id").agg((F.min("decided_at") + F.expr("INTERVAL 60 DAYS")).alias("resolved_at"), F.min("user_id").alias("resolved_by"))
+    return screening.conflicts(now).select("collection_id", "paper_id").join(first, ["collection_id", "paper_id"])
+
+
+def self_resolved(s, d):
+    return screening.self_resolved(_ruled(s, d), screening.current(screenings(s, d)))
+
+
+def blinded_view(s, d):
+    return screening.blinded_view(screening.current(screenings(s, d)), collections(s, d), 1)
+
+
+def reveal_preview(s, d):
+    return screening.reveal_preview(screening.current(screenings(s, d)))
+
+
+def query_text(s, d):
+    return papers(s, d).select("id", ft.query_text(F.col("title")).alias("text"))
+
+
+def token_hash(s, d):
+    return papers(s, d).select("id", ft.token_hash(F.col("title")).alias("hash"))
+
+
+def mean_and_error(s, d):
+    return rounded(stats.mean_and_error(papers(s, d).where("citation_count < 900000 and citation_count >= 0 and year is not null"), "citation_count", "year"), "mean", "stdev", "error")
+
+
+def bootstrap_precision(s, d):
+    population = scored_pairs(s, d).groupBy(F.col("strategy").alias("stratum")).agg(F.count(F.lit(1)).alias("population"))
+    return evaluation.bootstrap_precision(_labels(s, d), population)
+
+
+def _owned(s, d):
+    return source_records(s, d).where("query_name is not null and paper_id is not null").select("query_name", F.col("paper_id").alias("id")).distinct()
+
+
+def proportional_subset(s, d):
+    return stats.proportional_subset(_owned(s, d), papers(s, d), "query_name", 100)
+
+
+def bucket_fill(s, d):
+    """The years whose papers fit half the corpus, the latest year first of all."""
+    sizes = papers(s, d).where("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a year
+    last = max((r["year"] for r in sizes), default=0)
+    taken = set(stats.fill_buckets([(r["year"], r["n"], r["year"] == last) for r in sizes], sum(r["n"] for r in sizes) // 2))
+    return s.createDataFrame([(r["year"], r["n"]) for r in sizes if r["year"] in taken], "year int, n long")
+
+
+def _ingested(source: str):
+    def run(s, d):
+        return rec.papers_only(rec.derive_papers(source_records(s, d).where(F.col("source") == source))).select("record_id", "title", "doi", "type")
+
+    return run
+
+
+ingest_openalex, ingest_arxiv, ingest_pubmed = _ingested("openalex"), _ingested("arxiv"), _ingested("pubmed")
+
+
+def text_moved(s, d):
+    m, c = chosen(s, d)
+    return groups.text_moved(papers(s, d), groups.merged_fields(papers(s, d), m, c))
+
+
 def member_progress(s, d):
     now = screening.current(screenings(s, d))
     return screening.member_progress(now, screenings(s, d).select("collection_id", "user_id").distinct())
@@ -611,6 +678,8 @@ NAMES = [
     *["merge_roundtrip", "unwind_candidates", "orphan_records", "corpus_totals", "by_source", "records_by_query", "papers_by_query"],
     *["embedding_coverage", "merges_by_strategy", "corr_tail", "bucket_topn", "title_sample", "stratified_sample", "document_text"],
     *["embed_backlog", "embed_hash", "l2_normalize", "screenings_current", "collection_summary", "collection_papers", "conflicts", "resolutions_stale", "member_progress"],
+    *["self_resolved", "blinded_view", "reveal_preview", "query_text", "token_hash", "mean_and_error", "bootstrap_precision", "proportional_subset", "bucket_fill"],
+    *["ingest_openalex", "ingest_arxiv", "ingest_pubmed", "text_moved"],
     *["cohen_kappa", "krippendorff_alpha", "export_csv_cells", "bibtex_key", "export_bibtex", "recall_at_k", "recall_by_group", "ivf_recall", "ivf_recall_by_group", "fusion_convergence"],
     *["latency_percentiles", "stability_gate", "paired_ratio", "weighted_prf", "binary_kappa", "wilson_ci", "p5_found"],
 ]

@@ -138,6 +138,29 @@ DERIVED = f"""
 JUNK = "('paratext', 'editorial', 'erratum', 'supplementary-materials', 'peer-review', 'retraction')"
 
 SQL: dict[str, str] = {
+    "self_resolved": f"""
+        WITH {CURRENT.strip()}, r AS (SELECT collection_id, paper_id, min(user_id) AS resolved_by, min(decided_at) + INTERVAL 60 DAY AS resolved_at FROM now GROUP BY ALL HAVING count(DISTINCT decision) > 1)
+        SELECT collection_id, paper_id, resolved_by, EXISTS (SELECT 1 FROM now n WHERE n.collection_id = r.collection_id AND n.paper_id = r.paper_id AND n.user_id = r.resolved_by AND n.decided_at <= r.resolved_at) AS self_resolved FROM r""",
+    "blinded_view": f"""
+        WITH {CURRENT.strip()} SELECT collection_id, paper_id, user_id, decision, decided_at FROM now n JOIN collections c ON c.id = n.collection_id
+        WHERE user_id <> 1 AND (NOT (mode = 'blind' AND phase = 'screening') OR EXISTS (SELECT 1 FROM now m WHERE m.user_id = 1 AND m.collection_id = n.collection_id AND m.paper_id = n.paper_id))""",
+    "reveal_preview": f"""
+        WITH {CURRENT.strip()} SELECT collection_id, count(DISTINCT paper_id) AS papers, count(*) AS decisions, count(DISTINCT user_id) AS screeners,
+               (SELECT count(*) FROM (SELECT paper_id FROM now m WHERE m.collection_id = n.collection_id GROUP BY paper_id HAVING count(DISTINCT decision) > 1)) AS conflicts FROM now n GROUP BY collection_id""",
+    "query_text": "SELECT id, 'Represent this sentence for searching relevant passages: ' || title AS text FROM papers",
+    "token_hash": "SELECT id, sha256(title) AS hash FROM papers",
+    "mean_and_error": f"""
+        SELECT year, count(*) AS n, round(avg(citation_count), 6) AS mean, round(stddev_samp(citation_count), 6) AS stdev, round(stddev_samp(citation_count) / sqrt(count(*)), 6) AS error
+        FROM papers WHERE {CREDIBLE} AND year IS NOT NULL GROUP BY year""",
+    "proportional_subset": """
+        WITH o AS (SELECT DISTINCT query_name, paper_id AS id FROM source_records WHERE query_name IS NOT NULL AND paper_id IS NOT NULL)
+        SELECT query_name, id, row_number() OVER (PARTITION BY query_name ORDER BY citation_count DESC NULLS LAST, id) AS rank FROM o JOIN papers USING (id)
+        QUALIFY rank <= greatest(1, 100 // (SELECT count(DISTINCT query_name) FROM o))""",
+    **{
+        f"ingest_{source}": f"""
+        WITH {DERIVED} SELECT record_id, title, doi, type FROM derived WHERE source = '{source}' AND title IS NOT NULL AND coalesce(type, '') NOT IN {JUNK}"""
+        for source in ("openalex", "arxiv", "pubmed")
+    },
     "junk_types": f"""
         WITH {DERIVED} SELECT source, type, count(*) AS n, count(*) FILTER (title IS NOT NULL AND coalesce(type, '') NOT IN {JUNK}) AS kept FROM derived GROUP BY source, type""",
     "paper_link": f"""

@@ -278,3 +278,31 @@ def test_text_moved(spark):
     p = papers(spark, paper(1, "a"), paper(2, "b", abstract="x"))
     merged = spark.createDataFrame([(1, "a", None), (2, "b", None)], "survivor long, title string, abstract string")
     assert [r.id for r in groups.text_moved(p, merged).collect()] == [2]
+
+
+def test_blinding_and_rulings(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, 1, 1, "include", at(1)), (1, 1, 2, "exclude", at(2)), (1, 2, 2, "maybe", at(3)), (2, 1, 2, "include", at(1))]
+    now = spark.createDataFrame(rows, "collection_id long, paper_id long, user_id long, decision string, decided_at timestamp")
+    c = spark.createDataFrame([(1, "blind", "screening"), (2, "open", "screening")], "id long, mode string, phase string")
+    seen = lambda u: {(r.collection_id, r.paper_id, r.user_id) for r in screening.blinded_view(now, c, u).collect()}
+    assert seen(1) == {(1, 1, 2), (2, 1, 2)} and seen(2) == {(1, 1, 1)} and seen(9) == {(2, 1, 2)}
+    r = screening.reveal_preview(now).where("collection_id = 1").first()
+    assert (r.papers, r.decisions, r.screeners, r.conflicts) == (2, 3, 2, 1)
+    ruled = spark.createDataFrame([(1, 1, 2, at(2)), (1, 1, 2, at(1)), (1, 2, 1, at(9))], "collection_id long, paper_id long, resolved_by long, resolved_at timestamp")
+    assert {(x.paper_id, x.self_resolved) for x in screening.self_resolved(ruled.where("paper_id = 2"), now).collect()} == {(2, False)}
+    assert screening.self_resolved(ruled.limit(1), now).first().self_resolved is True
+
+
+def test_buckets_means_and_intervals(spark):
+    assert stats.fill_buckets([(1, 5, False), (2, 6, True), (3, 4, False)], 10) == [2, 3]
+    with pytest.raises(ValueError):
+        stats.fill_buckets([(1, 11, True)], 10)
+    p = papers(spark, *[paper(i, "t", citation_count=i, year=2000 + (i == 4)) for i in range(1, 5)])
+    got = {r.year: (r.n, r["mean"], r.stdev, r.error) for r in stats.mean_and_error(p, "citation_count", "year").collect()}
+    assert got[2000] == (3, 2.0, 1.0, pytest.approx(3**-0.5)) and got[2001] == (1, 4.0, None, None)
+    owned = spark.createDataFrame([("a", i) for i in range(1, 5)] + [("b", 1)], "q string, id long")
+    assert {(r.q, r.id) for r in stats.proportional_subset(owned, p, "q", 4).collect()} == {("a", 4), ("a", 3), ("b", 1)}
+    labels = spark.createDataFrame([("s", True, i % 5 > 0) for i in range(200)], "stratum string, merged boolean, same boolean")
+    r = evaluation.bootstrap_precision(labels, spark.createDataFrame([("s", 1000)], "stratum string, population long")).first()
+    assert 0.7 < r.low < 0.8 < r.high < 0.9
