@@ -131,24 +131,30 @@ def bm25(papers: DataFrame, text: str, k: int = 20, low: int | None = None, high
 
 
 def cover_density(papers: DataFrame, text: str, k: int = 20) -> DataFrame:
-    """Matches ranked by their covers: shortest spans holding every term, each worth 1 / its length."""
+    """Matches ranked by their covers: shortest spans of one field with a word of every group, worth the field's weight / their length.
+
+    Alternatives joined by OR are one group, any word of which will do; a match without a cover in either field scores 0.
+    """
     query = parse_query(text)
-    wanted = query.terms
-    found = keyword_matches(papers, text).select("id", F.concat("title_words", "abstract_words").alias("words"))
+    groups = [{w for words in group for w in words} if len(group) > 1 else None for group in query.groups]
+    parts = [g if g is not None else {w} for g, group in zip(groups, query.groups, strict=True) for w in ([None] if g is not None else group[0])]
+    wanted = set().union(*parts) if parts else set()
+    found = keyword_matches(papers, text).select("id", "title_words", "abstract_words")
+
+    def covers(words: list[str]) -> float:
+        last, score, begin = [-1] * len(parts), 0.0, -1
+        for i, w in enumerate(words):
+            if w in wanted:
+                last = [i if w in part else at for part, at in zip(parts, last, strict=True)]
+                low = min(last)
+                if low > begin:
+                    score += 1.0 / (i - low + 1)
+                    begin = low
+        return score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = []
-            for words in b.column(1).to_pylist():
-                last, score, begin = {}, 0.0, -1
-                for i, w in enumerate(words):
-                    if w in wanted:
-                        last[w] = i
-                        low = min(last.values()) if len(last) == len(wanted) else -1
-                        if low > begin:
-                            score += 1.0 / (i - low + 1)
-                            begin = low
-                scores.append(score)
+            scores = [TITLE_WEIGHT * covers(t) + ABSTRACT_WEIGHT * covers(a) for t, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return found.mapInArrow(run, "id long, score double").orderBy(F.desc("score"), "id").limit(k)

@@ -306,3 +306,9 @@ def test_buckets_means_and_intervals(spark):
     labels = spark.createDataFrame([("s", True, i % 5 > 0) for i in range(200)], "stratum string, merged boolean, same boolean")
     r = evaluation.bootstrap_precision(labels, spark.createDataFrame([("s", 1000)], "stratum string, population long")).first()
     assert 0.7 < r.low < 0.8 < r.high < 0.9
+
+
+def test_cover_density_by_group_and_field(spark):
+    p = papers(spark, paper(1, "alpha beta"), paper(2, "alpha", abstract="beta"), paper(3, "gamma x beta"), paper(4, "y", abstract="alpha beta"), paper(5, "alpha alpha"))
+    got = {r.id: round(r.score, 6) for r in search.cover_density(p, "alpha OR gamma beta").collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: round(1 / 3, 6), 4: 0.2}
