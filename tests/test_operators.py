@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,14 @@ def test_long_chain(spark):
     assert m.count() == 201 and m.agg(F.max("root")).first()[0] == 0
 
 
+def test_chain_in_no_order(spark):
+    """A chain whose ids rise and fall has many local minima: plain propagation needs 304 rounds."""
+    ids = list(range(400))
+    random.Random(5).shuffle(ids)
+    e = spark.createDataFrame([*zip(ids, ids[1:]), (1000, 1001)], "a long, b long")
+    assert {r.id: r.root for r in groups.components(e).collect()} == {i: 0 for i in ids} | {1000: 1000, 1001: 1000}
+
+
 def test_merge_and_roll_back(spark):
     p = papers(spark, paper(1, "preprint", doi="10.1/preprints.1", citation_count=9), paper(2, "published", venue="J", abstract="z"), paper(3, "alone"))
     r = spark.createDataFrame([(1, "arxiv", 1)], "id long, source string, paper_id long")
