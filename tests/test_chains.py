@@ -31,4 +31,17 @@ def chained(spark, sf_dir, tmp_path_factory):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_equals_sql_on_a_chain_in_no_order(spark, chained, name):
-    assert difference(spark, connect(chained), entry.queries()[name], entry.oracle_sql()[name], chained) is None
\ No newline at end of file
+    assert difference(spark, connect(chained), entry.queries()[name], entry.oracle_sql()[name], chained) is None
+
+
+def test_merge_snapshot_on_a_chain_in_no_order(spark, chained):
+    """It has no SQL: the members of every group that is not flagged, as far as they are papers."""
+    con, sql = connect(chained), entry.oracle_sql()
+    flagged = {root for root, _, _, verdict in con.execute(sql["group_verdict"]).fetchall() if verdict == "flagged"}
+    held, want = {i for (i,) in con.execute("SELECT id FROM papers").fetchall()}, {}
+    for i, root in con.execute(sql["components"]).fetchall():
+        if root not in flagged and i in held:
+            want.setdefault(root, []).append(i)
+    rows = entry.queries()["merge_snapshot"](spark, chained).collect()
+    assert sorted(r.members for r in rows) == sorted(",".join(map(str, sorted(m))) for m in want.values())
+    assert all(str(r.kept_paper_id) in r.members.split(",") and r.deleted == r.members.count(",") for r in rows) and flagged
