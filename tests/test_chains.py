@@ -12,6 +12,7 @@ from tests.oracle_compare import connect, difference
 
 QUERIES = [
     "group_verdict",
+    "screening_collapse",
 ]
 
 
