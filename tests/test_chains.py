@@ -13,6 +13,7 @@ from tests.oracle_compare import connect, difference
 QUERIES = [
     "group_verdict",
     "screening_collapse",
+    "unwind_candidates",
 ]
 
 
