@@ -14,6 +14,7 @@ QUERIES = [
     "group_verdict",
     "screening_collapse",
     "unwind_candidates",
+    "components",
 ]
 
 
