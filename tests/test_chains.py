@@ -15,6 +15,7 @@ QUERIES = [
     "screening_collapse",
     "unwind_candidates",
     "components",
+    "group_sizes",
 ]
 
 
