@@ -16,6 +16,7 @@ QUERIES = [
     "unwind_candidates",
     "components",
     "group_sizes",
+    "merge_roundtrip",
 ]
 
 
