@@ -17,6 +17,7 @@ QUERIES = [
     "components",
     "group_sizes",
     "merge_roundtrip",
+    "merged_fields",
 ]
 
 
