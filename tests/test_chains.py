@@ -18,6 +18,7 @@ QUERIES = [
     "group_sizes",
     "merge_roundtrip",
     "merged_fields",
+    "survivor",
 ]
 
 
