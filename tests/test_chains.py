@@ -19,6 +19,7 @@ QUERIES = [
     "merge_roundtrip",
     "merged_fields",
     "survivor",
+    "group_strategy",
 ]
 
 
