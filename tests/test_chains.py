@@ -20,6 +20,7 @@ QUERIES = [
     "merged_fields",
     "survivor",
     "group_strategy",
+    "merge_screening_conflicts",
 ]
 
 
