@@ -21,6 +21,7 @@ QUERIES = [
     "survivor",
     "group_strategy",
     "merge_screening_conflicts",
+    "record_repoint",
 ]
 
 
