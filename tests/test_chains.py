@@ -55,3 +55,15 @@ def test_merge_snapshot_on_a_chain_in_no_order(spark, chained):
     rows = entry.queries()["merge_snapshot"](spark, chained).collect()
     assert sorted(r.members for r in rows) == sorted(",".join(map(str, sorted(m))) for m in want.values())
     assert all(str(r.kept_paper_id) in r.members.split(",") and r.deleted == r.members.count(",") for r in rows) and flagged
+
+
+def test_merge_snapshot_rows_on_a_chain_in_no_order(spark, chained):
+    """Survivor, number deleted and members of every row equal those of the SQL of the other queries."""
+    con, sql = connect(chained), entry.oracle_sql()
+    for name in ("components", "group_verdict", "survivor"):
+        con.execute(f"CREATE TABLE q_{name} AS {sql[name]}")
+    want = con.execute("""
+        SELECT survivor, count(*) - 1, string_agg(m.id::varchar, ',' ORDER BY m.id) FROM q_components m JOIN q_survivor USING (root) JOIN papers p ON p.id = m.id
+        WHERE root NOT IN (SELECT root FROM q_group_verdict WHERE verdict = 'flagged') GROUP BY survivor""").fetchall()
+    rows = entry.queries()["merge_snapshot"](spark, chained).collect()
+    assert sorted((r.kept_paper_id, r.deleted, r.members) for r in rows) == sorted(want) and want
